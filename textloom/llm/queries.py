@@ -1,0 +1,28 @@
+"""The queries of the training-data problems, over whole tables with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import lines
+from textloom.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lines.line_occurrences(docs, lines.repeated_lines(docs))
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "bookshelf_id", "text")
+    found = lines.line_occurrences(docs, lines.repeated_lines(docs))
+    return lines.without_lines(docs, found).select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
