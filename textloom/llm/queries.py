@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines
-from textloom.session import table
+from textloom.llm import lines, spans
+from textloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,5 +24,20 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     return lines.without_lines(docs, found).select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return spans.shared_pairs(docs, spans.shared_spans(docs)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return spans.shared_characters(docs, materialize(spans.shared_spans(docs)))
+
+
+def p8_groups(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return spans.span_groups(docs, spans.shared_spans(docs))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
