@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines, spans
+from textloom.llm import lines, neardup, spans
 from textloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,5 +39,14 @@ def p8_groups(spark: SparkSession, folder: str) -> DataFrame:
     return spans.span_groups(docs, spans.shared_spans(docs))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return neardup.near_duplicate_pairs(docs).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
