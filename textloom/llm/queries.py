@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines, neardup, spans
+from textloom.llm import lines, neardup, packing, pieces, spans, tokencount
 from textloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,5 +48,29 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, folder, "documents"))
 
 
+def p2_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.token_budget(table(spark, folder, "documents"), table(spark, folder, "bookshelves"))
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.text_pieces(table(spark, folder, "documents")).unionAll(pieces.token_pieces(table(spark, folder, "examples")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.cut_items(p5_pieces(spark, folder))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(p7_containers(spark, folder))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.split_items(p7_containers(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
