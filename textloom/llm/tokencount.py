@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom.llm.bpe import BYTE_BPE_50K, PATTERN, Encoder, double_array, read_ranks
 
 # Unicode's White_Space, in place of \s, whose extent differs between engines.
-SPACE = r"\t-\r \x85\xA0  -     　"
+SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 SEGMENTS = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s+(?!\S)", f"[{SPACE}]+(?![^{SPACE}])").replace(r"\s+", f"[{SPACE}]+")
 
 _encoders: dict[str, Encoder] = {}
