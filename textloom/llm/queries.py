@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines, neardup, packing, pieces, spans, tokencount
+from textloom.llm import encode, lines, neardup, packing, pieces, spans, tokencount
 from textloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,5 +72,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return packing.split_items(p7_containers(spark, folder))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encode(table(spark, folder, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """By language: documents, tokens, and documents whose decoded ids are not the stored text (null counting as empty)."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    joined = docs.join(encode.encode(docs).withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"))
+    differs = (encode.decode(F.col("ids")) != F.col("text")).cast("long")
+    return joined.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("ids").cast("long")).alias("n_tokens"), F.sum(differs).alias("n_different"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
