@@ -23,10 +23,11 @@ def bucket_pairs(rows: DataFrame, key: str, node: str, least_shared: int = 1) ->
 def with_both(pairs: DataFrame, docs: DataFrame, node: str, *columns: Column) -> DataFrame:
     """pairs (a, b, ...) with structs left and right of the given columns of a's and b's rows.
 
-    The documents that occur in a pair are picked once, by one shuffle of the
-    whole table, and written; the two joins then read only those.
+    The documents that occur in a pair are picked once and written; the two joins
+    then read only those. Their ids are written before, so that the planner knows
+    their size: below the session's broadcast threshold the documents are not shuffled.
     """
-    nodes = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    nodes = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
     picked = materialize(docs.select(F.col(node).alias("id"), F.struct(*columns).alias("row")).join(nodes, "id", "left_semi"))
     left = picked.select(F.col("id").alias("a"), F.col("row").alias("left"))
     right = picked.select(F.col("id").alias("b"), F.col("row").alias("right"))

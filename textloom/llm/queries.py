@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import encode, lines, neardup, packing, pieces, spans, tokencount
+from textloom.llm import encode, lines, neardup, overlap, packing, pieces, spans, tokencount
 from textloom.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,5 +84,15 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("ids").cast("long")).alias("n_tokens"), F.sum(differs).alias("n_different"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = overlap.split_overlaps(table(spark, folder, "corpus_records"))
+    return found.select(F.least("e", "t").alias("rec_id_a"), F.greatest("e", "t").alias("rec_id_b")).distinct()
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "corpus_records")
+    return overlap.overlap_report(records, overlap.split_overlaps(records))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
