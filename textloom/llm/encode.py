@@ -169,8 +169,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat, pa.int32()))
         return pa.table({"doc_id": left.column("doc_id"), "ids": lists})
 
-    parts = docs.select(block_of(doc_id, blocks), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).groupBy("block")
-    return parts.cogroup(own.join(known, "word").select("block", "word", "ids").groupBy("block")).applyInArrow(assemble, "doc_id bigint, ids array<int>")
+    parts = docs.select(block_of(doc_id, blocks), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartition(blocks, "block")
+    ids = own.join(known, "word").select("block", "word", "ids").repartition(blocks, "block")
+    return parts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, "doc_id bigint, ids array<int>")
 
 
 @lru_cache(maxsize=4)
