@@ -186,7 +186,9 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
 
     def exploded(table: DataFrame, flags: list[tuple[str, list[int]]]) -> DataFrame:
         """One row for each segment and flag."""
-        reps = table.join(table.groupBy("copy").agg(F.min("id").alias("id")), ["copy", "id"], "left_semi")
+        keys = table.select("id", "copy")
+        doubles = materialize(keys.join(keys.groupBy("copy").agg(F.min("id").alias("least")), "copy").where("id <> least").select("id"))
+        reps = table.join(doubles, "id", "left_anti")
         with_flag = lambda f: lambda h: F.struct(h.alias("h"), F.lit(f).cast("byte").alias("f"))
         marked = F.concat(*(F.transform(c, with_flag(f)) for c, fs in flags for f in fs))
         return reps.select("id", "n", F.explode(marked).alias("s")).select("s.h", "s.f", "id", "n")
