@@ -106,29 +106,30 @@ def _segment_bitmap(rows: DataFrame) -> bytes:
 def edit_distance(x: list, y: list, diagonal: int, band: int) -> int:
     """The least number of items inserted, deleted or replaced that make x of a part of y, whose ends are free, on paths within band diagonals of the given one; band + 1 if there are more.
 
-    After e edits only the farthest position on each diagonal counts, so the work
-    grows with the edits and the band, not with the table's area.
+    After e edits only the farthest position on each diagonal counts; from one
+    count of edits to the next all diagonals of the band move at once.
     """
     n, m = len(x), len(y)
-    lo, hi = diagonal - band, diagonal + band
-    reach: dict[int, int] = {}
+    number: dict = {}
+    xs, ys = (np.fromiter((number.setdefault(w, len(number)) for w in z), np.int64, len(z)) for z in (x, y))
+    d = np.arange(diagonal - band, diagonal + band + 1)
+    at = d[:, None] + np.arange(n)[None, :]
+    equal = (at >= 0) & (at < m)
+    equal &= xs[None, :] == np.concatenate([ys, [-1]])[np.clip(at, 0, m)]
+    # slide[k, i]: where the run of equal items on diagonal k that begins at i ends
+    slide = np.full((len(d), n + 1), n)
+    slide[:, :n] = np.minimum.accumulate(np.where(equal, n, np.arange(n))[:, ::-1], axis=1)[:, ::-1]
+    never = -(1 << 40)
+    reach, rows = np.full(len(d) + 2, never), np.arange(len(d))
     for e in range(band + 1):
-        now: dict[int, int] = {}
-        for d in range(lo, hi + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
-            if d >= 0:
-                i = max(i, 0)  # y's start is free
-            elif e >= -d:
-                i = max(i, -d)  # x's first items have no partner
-            i = min(i, n, m - d)
-            if i < 0 or i + d < 0:
-                continue
-            while i < n and i + d < m and x[i] == y[i + d]:
-                i += 1
-            if i >= n:
-                return e
-            now[d] = i
-        reach = now
+        i = np.maximum(np.maximum(reach[1:-1] + 1, reach[:-2]), reach[2:] + 1)
+        i = np.where((d >= 0) | (e >= -d), np.maximum(i, np.maximum(0, -d)), i)  # y's start is free; items of x before it have no partner
+        i = np.minimum(i, np.minimum(n, m - d))
+        usable = (i >= 0) & (i + d >= 0)
+        i = np.where(usable, slide[rows, np.where(usable, i, 0)], never)
+        if (i >= n).any():
+            return e
+        reach[1:-1] = i
     return band + 1
 
 
