@@ -16,7 +16,7 @@ from textloom.llm.words import WordHashes, shingle_hashes, triples, words_of
 from textloom.session import materialize
 
 SEGMENT = 5  # words a segment
-KEEP, LOSS = 0.75, 0.70  # shares of a record's segments: chosen, and at most spoilt by edits
+KEEP, LOSS = 0.75, 0.65  # shares of a record's segments: chosen, and at most spoilt by edits
 _BITS = 26  # the evaluation segments' bitmap has 2^26 bits (8 MB), whatever the data's size
 
 
@@ -100,7 +100,8 @@ def _segment_bitmap(rows: DataFrame) -> bytes:
 
     parts = rows.select("rare", "rest").mapInArrow(of_task, "b binary")
     merged = parts.repartition(32).mapInArrow(union, "b binary").repartition(1).mapInArrow(union, "b binary")
-    return zlib.decompress(merged.first()[0])
+    row = merged.first()
+    return zlib.decompress(row[0]) if row else bytes(1 << _BITS - 3)
 
 
 def edit_distance(x: list, y: list, diagonal: int, band: int) -> int:
@@ -163,7 +164,7 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
     segments: an inserted word costs two triples and four segments, a replaced one
     three and five. So of any floor(KEEP * m) + 1 segments of the smaller record some remain,
     and with the rarest ones (notices come last) chosen on both sides, pairs are
-    counted in which the smaller one's chosen segments are the other's. As excerpts
+    counted by those of the smaller one's chosen segments that are the other's. As excerpts
     count, a segment may stand at any position of the longer record. Pairs with
     enough of them are verified on the texts: the words' edit distance by banded
     dynamic programming around the diagonal of the common triples (edits; null
@@ -185,20 +186,21 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
     bitmap = spark.sparkContext.broadcast(_segment_bitmap(evaluation))
     training = materialize(rows.where(side == "train").select(*cols).mapInArrow(_segments(min_words, bitmap), _SCHEMA))
 
-    def exploded(table: DataFrame, flags: list[tuple[str, list[int]]]) -> DataFrame:
-        """One row for each segment and flag."""
+    def exploded(table: DataFrame, node: str, *flags: tuple[str, bool, list[int]]) -> DataFrame:
+        """One row for each representative's segment and flag, with whether the record chose it."""
         keys = table.select("id", "copy")
         doubles = materialize(keys.join(keys.groupBy("copy").agg(F.min("id").alias("least")), "copy").where("id <> least").select("id"))
         reps = table.join(doubles, "id", "left_anti")
-        with_flag = lambda f: lambda h: F.struct(h.alias("h"), F.lit(f).cast("byte").alias("f"))
-        marked = F.concat(*(F.transform(c, with_flag(f)) for c, fs in flags for f in fs))
-        return reps.select("id", "n", F.explode(marked).alias("s")).select("s.h", "s.f", "id", "n")
+        row = lambda chosen, f: lambda h: F.struct(h.alias("h"), F.lit(f).cast("byte").alias("f"), F.lit(chosen).alias("c"))
+        marked = F.concat(*(F.transform(column, row(chosen, f)) for column, chosen, fs in flags for f in fs))
+        return reps.select(F.col("id").alias(node), F.col("n").alias(f"n{node}"), F.explode(marked).alias("s")).select("s.h", "s.f", node, f"n{node}", F.col("s.c").alias(f"c{node}"))
 
     # flag 1: the evaluation record chose the segment; it may meet any of training's. Flag 0: it did not; it may meet those that the training record chose.
-    e = exploded(evaluation, [("rare", [1]), ("rest", [0])]).select("h", "f", F.col("id").alias("a"), F.col("n").alias("na"))
-    t = exploded(training, [("rare", [1, 0]), ("rest", [1])]).select("h", "f", F.col("id").alias("b"), F.col("n").alias("nb"))
+    e = exploded(evaluation, "a", ("rare", True, [1]), ("rest", False, [0]))
+    t = exploded(training, "b", ("rare", True, [1, 0]), ("rest", False, [1]))
     small = F.least("na", "nb")
-    met = e.join(t, ["h", "f"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    shared = F.count(F.when(F.when(F.col("na") <= F.col("nb"), F.col("ca")).otherwise(F.col("cb")), 1))
+    met = e.join(t, ["h", "f"]).groupBy("a", "b", "na", "nb").agg(shared.alias("shared"))
     needed = F.greatest(F.lit(1), F.floor((KEEP - LOSS) * small) - 2)
     candidates = materialize(met.where(F.col("shared") >= needed).select("a", "b"))
     both = with_both(candidates, rows, rec_id, F.col(title).alias("title"), F.col(text).alias("text"))
