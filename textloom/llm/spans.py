@@ -84,6 +84,23 @@ def _minhash_rows(span: int, gram: int):
     return run
 
 
+def _paragraph_rows(span: int, gram: int):
+    """Rows (id, k): hashes of the whole paragraphs whose MinHash is one of the given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [], []
+            for i, text, hot in zip(*(c.to_pylist() for c in batch.columns)):
+                codes = code_points(text)
+                m = window_minima(gram_hashes(codes, gram), span - gram + 1)
+                h = np.unique(gram_hashes(codes, span)[np.isin(m, np.array(hot, np.int64).view(np.uint64))])
+                ids.append(np.full(len(h), i, np.int64))
+                keys.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.empty(0, np.int64)])) for c in (ids, keys)], ["id", "k"])
+
+    return run
+
+
 def shared_positions(a: np.ndarray, b: np.ndarray, span: int, hb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the runs of span code points of a that occur in b, and of those of b that occur in a, compared character by character."""
     ha, hb = gram_hashes(a, span), gram_hashes(b, span)
@@ -138,7 +155,7 @@ def copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     return keyed.join(keyed.groupBy("copy").agg(F.min("id").alias("rep")), "copy").select("id", "rep", "n")
 
 
-def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, gram: int = 200) -> DataFrame:
+def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, gram: int = 200, hot: int = 1000) -> DataFrame:
     """(a, b, runs_a, runs_b): pairs a < b of different texts with a common run of at least span characters, and what each shares with the other.
 
     Paragraph MinHash banding, tuned for a recall of one: every run of span
@@ -147,8 +164,10 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     neighbouring paragraphs mostly have the same MinHash, about
     2 / (span - gram + 2) rows a character remain. Larger grams give more rows but
     fewer chance collisions: notices shorter than gram characters never collide.
-    Colliding documents are compared character by character; exact copies take
-    part once, by their least id.
+    Where more than hot documents share a MinHash (a notice longer than gram, in
+    thousands of texts), their whole paragraphs' hashes are joined instead, so that
+    only those meet that do share a paragraph. Colliding documents are compared
+    character by character; exact copies take part once, by their least id.
 
     Null, empty and short texts (under span code points) share nothing.
     Extra columns are ignored. doc_id must be a unique bigint; rows with a null id are left out.
@@ -157,7 +176,15 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     sketched = long.mapInArrow(_minhash_rows(span, gram), "id bigint, copy string, minhashes array<bigint>")
     least = long.groupBy("copy").agg(F.min("id").alias("id"))
     prints = sketched.join(least, ["copy", "id"], "left_semi").select("id", F.explode("minhashes").alias("k"))
-    candidates = materialize(bucket_pairs(prints, "k", "id").select("a", "b"))
+    # one shuffle by MinHash; what collides is a small part, and is written
+    met = materialize(prints.withColumn("n", F.count("*").over(W.partitionBy("k"))).where("n > 1"))
+    pairs = bucket_pairs(met.where(F.col("n") <= hot), "k", "id").select("a", "b")
+    crowded = met.where(F.col("n") > hot)
+    if crowded.limit(1).count():
+        keys = materialize(crowded.groupBy("id").agg(F.collect_set("k").alias("hot")))
+        exact = long.select("id", "text").join(keys, "id").mapInArrow(_paragraph_rows(span, gram), "id bigint, k bigint")
+        pairs = pairs.unionAll(bucket_pairs(exact, "k", "id").select("a", "b")).distinct()
+    candidates = materialize(pairs)
     both = with_both(candidates, docs, doc_id, F.col(text).alias("text"))
     return both.select("a", "b", "left", "right").mapInArrow(_verify(span), "a bigint, b bigint, runs_a array<struct<start:bigint,end:bigint>>, runs_b array<struct<start:bigint,end:bigint>>")
 
