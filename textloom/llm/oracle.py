@@ -2,6 +2,49 @@
 
 from __future__ import annotations
 
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WHITE}|{WHITE}$', '', 'g')"
+
+
+# the engine's lower() lacks the final form of sigma, which Unicode's lower case has
+_LOWER = r"lower(regexp_replace({x}, '(\p{{L}})Σ($|[^\p{{L}}])', '\1ς\2', 'g'))"
+_LINES = f"""s AS (SELECT doc_id, bookshelf_id, string_split(text, chr(10)) AS ls FROM documents WHERE bookshelf_id IS NOT NULL AND text IS NOT NULL),
+ l AS (SELECT doc_id, bookshelf_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM s),
+ n AS (SELECT doc_id, bookshelf_id, line_no, {_LOWER.format(x=f"trim(regexp_replace(regexp_replace(line, '[0-9]+', '0', 'g'), '{WHITE}', ' ', 'g'))")} AS x FROM l),
+ z AS (SELECT bookshelf_id, count(*) AS size FROM documents WHERE bookshelf_id IS NOT NULL GROUP BY 1),
+ f AS (SELECT bookshelf_id, x, count(DISTINCT doc_id) AS k FROM n WHERE length(x) >= 20 GROUP BY 1, 2),
+ r AS (SELECT n.doc_id, CAST(n.line_no AS BIGINT) AS line_no FROM n JOIN f USING (bookshelf_id, x) JOIN z USING (bookshelf_id) WHERE f.k >= 5 AND f.k >= 0.05::DOUBLE * z.size)"""
+
+
+def _triples(table: str, node: str) -> str:
+    """CTEs t (node, t: a word triple) and c (node, n: its number of triples) of the records with 20 words or more."""
+    text = "coalesce(title, '') || ' ' || coalesce(text, '')"
+    return f"""w AS (SELECT {node}, regexp_extract_all({_LOWER.format(x=text)}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}),
+ t AS (SELECT DISTINCT {node}, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT {node}, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+ c AS (SELECT {node}, count(*) AS n FROM t GROUP BY 1)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""WITH {_triples("documents", "doc_id")}, m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a AS doc_id_a, b AS doc_id_b FROM m JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 10 * k >= 7 * (x.n + y.n - k)""",
+        "p4_found": f"""WITH {_triples("corpus_records", "rec_id")}, s AS (SELECT rec_id, lower({_strip("split")}) = 'train' AS train FROM corpus_records WHERE split IS NOT NULL),
+ u AS (SELECT t.*, train FROM t JOIN s USING (rec_id)), m AS (SELECT a.rec_id AS a, b.rec_id AS b, count(*) AS k FROM u a JOIN u b ON a.t = b.t WHERE a.train AND NOT b.train GROUP BY 1, 2)
+SELECT least(a, b) AS rec_id_a, greatest(a, b) AS rec_id_b FROM m JOIN c x ON x.rec_id = a JOIN c y ON y.rec_id = b WHERE 10 * k >= 7 * least(x.n, y.n)""",
+        "p8_found": """WITH g AS (SELECT DISTINCT doc_id, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+ h AS (SELECT list(doc_id ORDER BY doc_id) AS ids FROM g GROUP BY s HAVING count(*) > 1), d AS (SELECT DISTINCT ids FROM h), x AS (SELECT ids, unnest(ids) AS a FROM d)
+SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM (SELECT a, unnest(ids) AS b FROM x) WHERE a < b""",
+        "p3_found": f"WITH {_LINES} SELECT doc_id, line_no FROM r",
+        "p3_clean": f"""WITH {_LINES}, g AS (SELECT doc_id, list(line_no) AS gone FROM r GROUP BY 1),
+ d AS (SELECT d.doc_id, text, gone, string_split(text, chr(10)) AS ls FROM documents d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string([ls[i + 1] for i in range(len(ls)) if NOT list_contains(gone, i)], chr(10)), '') END AS text,
+ CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed FROM d""",
+        "p5_found": """SELECT 'document' AS item_kind, doc_id AS item_id FROM documents WHERE length(text) > 6000
+UNION ALL SELECT 'example', example_id FROM examples WHERE len(list_filter(attention_mask, lambda x: x = 1)) > 512""",
+        "p8_shared": """WITH g AS (SELECT doc_id, i, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+ h AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1), p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM g SEMI JOIN h USING (s)),
+ c AS (SELECT doc_id, sum(CASE WHEN prev IS NULL THEN 300 ELSE least(300, i - prev) END) AS n, count(CASE WHEN prev IS NULL OR i - prev > 300 THEN 1 END) AS runs FROM p GROUP BY 1)
+SELECT d.doc_id, length(text) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS n_shared, coalesce(runs, 0) AS n_runs FROM documents d LEFT JOIN c USING (doc_id)""",
+    }

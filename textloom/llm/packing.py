@@ -96,5 +96,5 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     total = F.coalesce(F.sum("tokens"), F.lit(0))
     return used.agg(
         F.coalesce(F.sum("items"), F.lit(0)).alias("n_items"), F.count("*").alias("n_containers"), total.alias("n_tokens"),
-        F.ceil(total / capacity).alias("least_containers"), F.coalesce(F.max("tokens"), F.lit(0)).alias("fullest"), (1 - total / (F.count("*") * capacity)).alias("unused_share"),
+        F.ceil(total / capacity).alias("least_containers"), F.coalesce(F.max("tokens"), F.lit(0)).alias("fullest"), (1 - F.try_divide(total, F.count("*") * capacity)).alias("unused_share"),
     )

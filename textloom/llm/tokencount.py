@@ -79,7 +79,7 @@ def token_budget(docs: DataFrame, shelves: DataFrame, path: str = BYTE_BPE_50K)
     whose source or language was stored in another spelling or not at all), n_chars
     (measured, not the stored number) and n_tokens. A shelf that is null, unknown or has no domain counts under 'unknown'.
     Every document counts in exactly one slice of each grouping. An empty table gives
-    the total's row only.
+    no rows.
 
     Tokens are counted where the rows lie; the shelves join after partial sums by
     (source, lang, shelf), so what is shuffled has the number of slices as its size.
