@@ -174,3 +174,31 @@ def test_vocabulary_and_decode(rows):
     assert [(r.token, r.token_id, r.n) for r in tokens.vocabulary(df, "t").orderBy("token_id").collect()] == [("a", 2, 1), ("b", 3, 2)]
     assert rows([([0, 2, 3],)], "i array<int>").select(tokens.decode(F.col("i"), F.array(F.lit("<s>"), F.lit("</s>"), F.lit("a"), F.lit("b")), [0, 1])).first()[0] == "a b"
     assert rows([(7, 2), (1, 5)], "s int, f int").select(arrays.shrink(F.col("s"), F.col("f"))).collect() == [(3,), (1,)]
+
+
+def test_failures_use_up_a_budget(rows):
+    df = rows([("a", i, 200 if i % 2 else 500) for i in range(12)] + [("b", 0, 404)], "bookshelf_id string, attempt int, status int")
+    got = catalogue.within_failure_budget(df)
+    assert sorted(r.attempt for r in got.where("bookshelf_id = 'a'").collect()) == list(range(9)) and catalogue.ok_responses(got).count() == 4
+
+
+def test_documents_are_split_whole(rows):
+    df = rows([(i // 5, i) for i in range(100)], "doc int, win int")
+    got = order.split_documents(df, "doc", 3).groupBy("doc").agg(F.countDistinct("split").alias("n"), F.first("split").alias("s")).collect()
+    assert all(r.n == 1 for r in got) and sum(r.s == "train" for r in got) == 18
+
+
+def test_scopes_and_ranks(rows):
+    df = rows([(0,), (1,), (None,)], "rank int")
+    assert order.rank_scope(df, "rank0").count() == 1 and order.rank_scope(df).count() == 3 and df.where(order.leads(F.col("rank"))).count() == 2
+    with pytest.raises(ValueError):
+        order.rank_scope(df, "x")
+
+
+def test_prompts_and_resuming(rows):
+    ex = rows([(0, i, [i, 1, 2, 9, 9], [1, 1, 1, 0, 0]) for i in range(3)], "batch int, id int, ids array<int>, mask array<int>")
+    half = windows.prompt_split(ex, "ids", "mask", "batch", "id", pad=9).orderBy("id").collect()
+    assert [(r.prompt, r.ground_truth) for r in half] == [([0], [1, 2]), ([1], [1, 2])]
+    fixed = windows.prompt_split(ex, "ids", "mask", "batch", "id", samples=1, pad=9, prompt_length=100).first()
+    assert fixed.prompt == [0, 1, 2, 9, 9] and fixed.ground_truth == []
+    assert tuple(retention.resume_position(rows([("r", 4), ("r", 9)], "run string, epoch int"), ["run"]).first()) == ("r", 10)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import is_present
 from textloom.functions.whitespace import strip
+from textloom.operators.prefix import prefix_sums
 
 UNKNOWN = "Unknown"
 PAGE_SIZE = 25
@@ -36,6 +37,12 @@ def pages_until_empty(pages: DataFrame, shelf: str = "bookshelf_id", page: str =
     return pages.join(stop, F.col(shelf) == F.col("__s"), "left").where(F.col("__stop").isNull() | (F.col(page) < F.col("__stop"))).drop("__s", "__stop")
 
 
+def within_failure_budget(attempts: DataFrame, shelf: str = "bookshelf_id", attempt: str = "attempt", status: str = "status", budget: int = 5) -> DataFrame:
+    """The attempts a scan makes that gives a shelf up after budget failures in all; a success does not reset the count."""
+    failed = F.when(F.col(status) == 200, 0).otherwise(1).cast("bigint")
+    return prefix_sums(attempts, [shelf], [attempt], {"__failed": failed}).where(F.col("__failed") < budget).drop("__failed")
+
+
 def ok_responses(responses: DataFrame, status: str = "status") -> DataFrame:
     return responses.where(F.col(status) == 200)
 

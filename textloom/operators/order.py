@@ -24,6 +24,12 @@ def split_share(df: DataFrame, ids: list[str], seed: int, share: float = 0.9, na
     return permuted(df, ids, seed, "__pos").withColumn(name, F.when(F.col("__pos") < int(share * n), "train").otherwise("val")).drop("__pos")
 
 
+def split_documents(df: DataFrame, doc: str, seed: int, share: float = 0.9, name: str = "split") -> DataFrame:
+    """df with whole documents split by share, so that windows of one document, which overlap, never stand in both splits."""
+    documents = split_share(df.select(doc).distinct(), [doc], seed, share, name)
+    return df.join(documents, doc)
+
+
 def split_fixed(df: DataFrame, ids: list[str], seed: int, test_size: int = 2, name: str = "split") -> DataFrame:
     """df with split 'test' for the first test_size rows of the permutation, else 'train'."""
     return permuted(df, ids, seed, "__pos").withColumn(name, F.when(F.col("__pos") < test_size, "test").otherwise("train")).drop("__pos")
@@ -52,3 +58,15 @@ def collate(sharded: DataFrame, *columns: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("shard_pos", *columns)))
     stacked = sharded.groupBy("rank", "batch").agg(rows.alias("__rows"))
     return stacked.select("rank", "batch", *(F.col(f"__rows.{c}").alias(c) for c in columns))
+
+
+def rank_scope(sharded: DataFrame, scope: str = "global") -> DataFrame:
+    """The rows that metrics are taken of: all ranks' ('global'), or the first rank's shard only ('rank0')."""
+    if scope not in ("global", "rank0"):
+        raise ValueError(f"unknown scope {scope}")
+    return sharded.where(F.col("rank") == 0) if scope == "rank0" else sharded
+
+
+def leads(rank: Column) -> Column:
+    """Whether a process writes and logs: the first rank, or the only one (null)."""
+    return F.coalesce(rank == 0, F.lit(True))

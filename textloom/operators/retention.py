@@ -19,3 +19,8 @@ def retained(manifest: DataFrame, keep: int, run: list[str] = [], file: str = "f
 
 def checkpoint_name(epoch: Column, is_best: Column) -> Column:
     return F.when(is_best, "best_model.pt").otherwise(F.format_string("checkpoint_epoch_%d.pt", epoch + 1))
+
+
+def resume_position(manifest: DataFrame, run: list[str], epoch: str = "epoch") -> DataFrame:
+    """(run, epochs_run): the epoch at which each run goes on after its last checkpoint. Steps and the best loss start anew."""
+    return manifest.groupBy(*run).agg((F.max(epoch) + 1).alias("epochs_run"))
