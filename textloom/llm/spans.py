@@ -209,7 +209,9 @@ def shared_characters(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id",
 
 
 def span_groups(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
-    """(doc_id, group_id, keep): components of the documents that share spans; keep is true for the least id of each, the rest are candidates for removal."""
+    """(doc_id, group_id, keep): one row for each document; group_id is the least id of the component that shared spans link it to (its own without any), keep is true for that document, and the rest of a component are candidates for removal."""
     classes = copy_classes(docs, doc_id, text, span)
     edges = spans.select("a", "b").unionAll(classes.where("id <> rep").select("rep", "id"))
-    return components(edges, "a", "b").select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"), (F.col("id") == F.col("component")).alias("keep"))
+    found = components(edges, "a", "b")
+    group = F.coalesce("component", "doc_id")
+    return docs.select(F.col(doc_id).alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", group.alias("group_id"), F.col("doc_id").eqNullSafe(group).alias("keep"))
