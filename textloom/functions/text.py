@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.whitespace import collapse, strip
+from textloom.functions.whitespace import collapse, collapse_blanks, strip
 
 # What frames a book's text, and the abbreviation that cleaning spells out.
 START, END = "*** START OF", "*** END OF"
@@ -17,7 +17,7 @@ ABBREVIATION, EXPANSION = "viz.", "namely"
 def clean_text(text: Column) -> Column:
     """White space collapsed; underscores and round brackets deleted; then the abbreviation spelled out, also inside words; white space collapsed again. Null stays null."""
     bare = F.translate(collapse(text), "_()", "")
-    return collapse(F.replace(bare, F.lit(ABBREVIATION), F.lit(EXPANSION)))
+    return collapse_blanks(F.replace(bare, F.lit(ABBREVIATION), F.lit(EXPANSION)))
 
 
 def strip_boilerplate(text: Column) -> Column:
@@ -61,7 +61,7 @@ def json_line_bytes(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Cleaned text's words; an empty array for empty text."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " ", -1))
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
 def contains_any(value: Column, needles: Sequence[str]) -> Column:

@@ -12,9 +12,18 @@ WHITE_RUN = f"[{WHITE}]+"
 WHITE_INLINE_RUN = f"[{WHITE.replace('x09-', 'x09' + chr(92) + 'x0B-')}]+"
 
 
+#: What collapsing changes: runs that are not just one blank. Most blanks of a text do not match, so little is rewritten.
+_CHANGED = f"(?:[{WHITE.replace('x1C-' + chr(92) + 'x20', 'x1C-' + chr(92) + 'x1F')}]| (?=[{WHITE}]))[{WHITE}]*"
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one blank; none is left at the ends."""
-    return F.trim(F.regexp_replace(text, WHITE_RUN, " "))
+    return F.trim(F.regexp_replace(text, _CHANGED, " "))
+
+
+def collapse_blanks(text: Column) -> Column:
+    """collapse for text whose only white space is blanks."""
+    return F.trim(F.regexp_replace(text, "  +", " "))
 
 
 def strip(text: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.operators.prefix import ordinals
+from textloom.session import materialize
 
 
 def turn(seed: int, *ids: str) -> Column:
@@ -13,15 +14,31 @@ def turn(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *(F.col(c).cast("string") for c in ids)))
 
 
+def _in_turn(df: DataFrame, ids: list[str], seed: int) -> DataFrame:
+    """df written with the permutation's key."""
+    return materialize(df.withColumn("__turn", turn(seed, *ids)))
+
+
+def _positions(keyed: DataFrame, ids: list[str], name: str) -> DataFrame:
+    """The rows' places in the order of their keys. Keys are uniform, so their first three digits make 4,096 even buckets: bucket sizes are summed up in one small table and rows are numbered within their buckets, all buckets at once."""
+    bucket = F.left("__turn", F.lit(3))
+    sizes = keyed.groupBy(bucket.alias("__b")).agg(F.count("*").alias("__n"))
+    starts = sizes.select("__b", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(W.partitionBy("__b").orderBy("__turn", *ids))
+    placed = keyed.withColumn("__b", bucket).join(F.broadcast(starts), "__b")  # at most 4,096 rows
+    return placed.withColumn(name, (F.col("__start") + rank - 1).cast("bigint")).drop("__turn", "__b", "__start")
+
+
 def permuted(df: DataFrame, ids: list[str], seed: int, name: str = "pos") -> DataFrame:
     """df with each row's position, from 0, in the seed's permutation. ids must be unique together."""
-    return ordinals(df.withColumn("__turn", turn(seed, *ids)), [], ["__turn", *ids], name).drop("__turn")
+    return _positions(_in_turn(df, ids, seed), ids, name)
 
 
 def split_share(df: DataFrame, ids: list[str], seed: int, share: float = 0.9, name: str = "split") -> DataFrame:
     """df with split 'train' for exactly floor(share * n) rows of the permutation, else 'val'. The complement needs no join."""
-    n = df.count()
-    return permuted(df, ids, seed, "__pos").withColumn(name, F.when(F.col("__pos") < int(share * n), "train").otherwise("val")).drop("__pos")
+    keyed = _in_turn(df, ids, seed)
+    n = keyed.count()
+    return _positions(keyed, ids, "__pos").withColumn(name, F.when(F.col("__pos") < int(share * n), "train").otherwise("val")).drop("__pos")
 
 
 def split_documents(df: DataFrame, doc: str, seed: int, share: float = 0.9, name: str = "split") -> DataFrame:

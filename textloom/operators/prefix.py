@@ -17,11 +17,12 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str | Column], sums
     are carried over to the next by a window over at most one row a group and
     partition, and within a partition a plain window suffices. A group that holds
     most rows is thus spread over many tasks. order must be total within a group
-    (add a unique column); null groups are groups; group may be empty.
+    (add a unique column); null groups are groups; group may be empty. df is written
+    first, as range partitioning reads its input twice.
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = {f"__v_{k}": v for k, v in sums.items()}
-    keyed = df.withColumns(names).repartitionByRange(*group, *order_cols).withColumn("__part", F.spark_partition_id())
+    keyed = materialize(df.withColumns(names)).repartitionByRange(*group, *order_cols).withColumn("__part", F.spark_partition_id())
     keyed = materialize(keyed)
     part_sums = keyed.groupBy(*group, "__part").agg(*(F.sum(n).alias(n) for n in names))
     before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

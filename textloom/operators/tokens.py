@@ -52,7 +52,8 @@ class LibraryTokenizer:
 
 def vocabulary(df: DataFrame, tokens: str, reserved: int = 2) -> DataFrame:
     """(token, token_id, n): the distinct non-empty tokens in the order of their bytes, ids from reserved on."""
-    counted = df.select(F.explode(tokens).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    # explode would make the optimizer filter by the array's size first, and compute the tokens once more for that
+    counted = df.select(F.explode_outer(tokens).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
     return ordinals(counted, [], ["token"], "__at").select("token", (F.col("__at") + reserved).alias("token_id"), "n")
 
 

@@ -20,8 +20,9 @@ def sliding_windows(df: DataFrame, tokens: str, max_length: int = 512, overlap:
     content = max_length - specials
     if not 0 <= overlap < content:
         raise ValueError("overlap must be less than max_length without the special tokens")
-    size = F.size(tokens).cast("bigint")
-    numbered = df.where(F.col(tokens).isNotNull()).withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), window_count(size, content, overlap) - 1)))
+    size = F.array_size(tokens).cast("bigint")
+    # explode would make the optimizer filter by the sequence first, and compute the tokens once more for that
+    numbered = df.withColumn(name, F.explode_outer(F.sequence(F.lit(0).cast("bigint"), window_count(size, content, overlap) - 1))).where(F.col(name).isNotNull())
     return numbered.withColumn(out, F.slice(tokens, (F.col(name) * (content - overlap) + 1).cast("int"), content))
 
 

@@ -60,5 +60,12 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, least: int = 1 << 20, most: int = 1 << 28) -> DataFrame:
+    """df over all cores if it comes from so few files that most would idle, and is small: a file of one row group is one task, whatever work follows. Tables over most bytes, or of files enough, are left as they are and never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if least <= size <= most and 2 * len(df.inputFiles()) <= cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
