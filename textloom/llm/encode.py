@@ -121,7 +121,8 @@ def fold_merges(word: Column, path: str = BYTE_BPE_50K) -> Column:
 def words_by_block(docs: DataFrame, text: str, blocks: int, doc_id: str) -> DataFrame:
     """(block, word): the distinct words of each block of documents. Each document's are made distinct first, then each task's, before they are shuffled."""
     words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(SEGMENTS), F.lit(0)))
-    return docs.select(block_of(doc_id, blocks), F.explode(words).alias("word")).distinct()
+    # explode would make the optimizer filter by the array's size first, and cut the text once more for that
+    return docs.select(block_of(doc_id, blocks), F.explode_outer(words).alias("word")).where(F.col("word").isNotNull()).distinct()
 
 
 def block_of(doc_id: str, blocks: int) -> Column:
