@@ -143,7 +143,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     blocks = max(1, -(-docs.count() // block_docs))
     shared = vocabulary(spark, path)
     own = materialize(words_by_block(docs, text, blocks, doc_id))
-    words = own.select("word").distinct()
+    words = own.select("word").repartition(blocks, "word").distinct()  # a fold's work is more than its bytes show, so partitions must not be merged by size
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
