@@ -132,7 +132,7 @@ def test_p6_is_the_tokenizer(spark, documents, tokenizer):
 
 
 def test_p6_edges_and_round_trip(rows, tokenizer):
-    texts = [None, "", " ", "<|endoftext|> as text", "  \n\n\t x  ", "中文" * 900, "é" * 400, "a" * 3000, "don't 123,456  z", "\U0001f600\U0001f468", prose(4, 20_000)]
+    texts = [None, "", " ", "<|endoftext|> as text", "  \n\n\t x  ", "中文" * 900, "é" * 400, "a" * 3000, "don't 123,456  z", "\U0001f600\U0001f468", "a letter\U0001df25newer than the JVM's tables", prose(4, 20_000)]
     df = docs(rows, [(i, None, t, None) for i, t in enumerate([*texts, *texts])])
     got = {(r.doc_id, r.back): r.ids for r in encode.encode(df, block_docs=5).withColumn("back", encode.decode(F.col("ids"))).collect()}
     assert got == {(i, t or ""): tokenizer.encode_ordinary(t or "") for i, t in enumerate([*texts, *texts])}
@@ -252,7 +252,10 @@ def test_edit_distance_is_the_full_table():
             for j, d in enumerate(y, 1):
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
             row = new
-        assert overlap.edit_distance(x, y, 0, 25) == min(row)
+        for cells in (1 << 21, 0):
+            overlap._CELLS = cells
+            assert overlap.edit_distance(x, y, 0, 25) == min(row)
+    overlap._CELLS = 1 << 21
     assert overlap.edit_distance(list("abcdef"), list("uvwxyz"), 0, 2) == 3
 
 
@@ -321,6 +324,7 @@ def test_p8_edges(rows):
     s = spans.shared_spans(df)
     got = {tuple(r) for r in spans.shared_pairs(df, s).collect()}
     assert got == sharing([(i, t) for i, t in data if i is not None])
+    assert {tuple(r) for r in spans.shared_pairs(df, spans.shared_spans(df, hot=1)).collect()} == got
     chars = {r.doc_id: (r.n_chars, r.n_shared, r.n_runs) for r in spans.shared_characters(df, s).where("doc_id is not null").collect()}
     assert chars[1] == (len(y) + 301, 300, 1) and chars[2] == (len(z) + 301, 300 + len(z), 1) and chars[4] == (None, 0, 0) and chars[9] == (len(z), len(z), 1) and chars[3] == (300, 0, 0)
     groups = {r.doc_id: r.group_id for r in spans.span_groups(df, s).collect()}

@@ -11,18 +11,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.whitespace import strip
 from textloom.llm.pairing import with_both
 from textloom.llm.words import WordHashes, shingle_hashes, triples, words_of
 from textloom.session import materialize
 
 SEGMENT = 5  # words a segment
 KEEP, LOSS = 0.75, 0.65  # shares of a record's segments: chosen, and at most spoilt by edits
+MAX_EDITS, _CELLS = 64, 1 << 21  # edits that are counted at most; cells of a table that is made whole
 _BITS = 26  # the evaluation segments' bitmap has 2^26 bits (8 MB), whatever the data's size
 
 
 def normal_split(split: Column) -> Column:
     """The split trimmed and in lower case, validation as val."""
-    s = F.lower(F.regexp_replace(split, r"^\s+|\s+$", ""))
+    s = F.lower(strip(split))
     return F.when(s == "validation", "val").otherwise(s)
 
 
@@ -104,6 +106,34 @@ def _segment_bitmap(rows: DataFrame) -> bytes:
     return zlib.decompress(row[0]) if row else bytes(1 << _BITS - 3)
 
 
+def _slides(x: np.ndarray, y: np.ndarray, d: np.ndarray):
+    """For each diagonal, where the run of equal items that begins at a position ends; from a table of the whole band."""
+    n, m = len(x), len(y)
+    at = d[:, None] + np.arange(n)[None, :]
+    equal = (at >= 0) & (at < m)
+    equal &= x[None, :] == np.concatenate([y, [-1]])[np.clip(at, 0, m)]
+    ends = np.full((len(d), n + 1), n)
+    ends[:, :n] = np.minimum.accumulate(np.where(equal, n, np.arange(n))[:, ::-1], axis=1)[:, ::-1]
+    rows = np.arange(len(d))
+    return lambda i, usable: ends[rows, i]
+
+
+def _slide_by_steps(x: np.ndarray, y: np.ndarray, d: np.ndarray):
+    """The same without a table, for long records: runs are followed in steps that double."""
+
+    def one(i: int, k: int) -> int:
+        step, last = 16, min(len(x), len(y) - k)
+        while i < last:
+            to = min(i + step, last)
+            differ = np.flatnonzero(x[i:to] != y[i + k : to + k])
+            if len(differ):
+                return i + int(differ[0])
+            i, step = to, 2 * step
+        return i
+
+    return lambda i, usable: np.array([one(int(a), int(k)) if u else 0 for a, k, u in zip(i, d, usable)])
+
+
 def edit_distance(x: list, y: list, diagonal: int, band: int) -> int:
     """The least number of items inserted, deleted or replaced that make x of a part of y, whose ends are free, on paths within band diagonals of the given one; band + 1 if there are more.
 
@@ -114,20 +144,15 @@ def edit_distance(x: list, y: list, diagonal: int, band: int) -> int:
     number: dict = {}
     xs, ys = (np.fromiter((number.setdefault(w, len(number)) for w in z), np.int64, len(z)) for z in (x, y))
     d = np.arange(diagonal - band, diagonal + band + 1)
-    at = d[:, None] + np.arange(n)[None, :]
-    equal = (at >= 0) & (at < m)
-    equal &= xs[None, :] == np.concatenate([ys, [-1]])[np.clip(at, 0, m)]
-    # slide[k, i]: where the run of equal items on diagonal k that begins at i ends
-    slide = np.full((len(d), n + 1), n)
-    slide[:, :n] = np.minimum.accumulate(np.where(equal, n, np.arange(n))[:, ::-1], axis=1)[:, ::-1]
+    slide = _slides(xs, ys, d) if n * len(d) <= _CELLS else _slide_by_steps(xs, ys, d)
     never = -(1 << 40)
-    reach, rows = np.full(len(d) + 2, never), np.arange(len(d))
+    reach = np.full(len(d) + 2, never)
     for e in range(band + 1):
         i = np.maximum(np.maximum(reach[1:-1] + 1, reach[:-2]), reach[2:] + 1)
         i = np.where((d >= 0) | (e >= -d), np.maximum(i, np.maximum(0, -d)), i)  # y's start is free; items of x before it have no partner
         i = np.minimum(i, np.minimum(n, m - d))
         usable = (i >= 0) & (i + d >= 0)
-        i = np.where(usable, slide[rows, np.where(usable, i, 0)], never)
+        i = np.where(usable, slide(np.where(usable, i, 0), usable), never)
         if (i >= n).any():
             return e
         reach[1:-1] = i
@@ -147,7 +172,7 @@ def _verify(least: tuple[int, int]):
                 if both * least[1] >= least[0] * len(sx):
                     first = {w: i for i, w in reversed(list(enumerate(zip(y, y[1:], y[2:]))))}
                     shifts = [first[w] - i for i, w in enumerate(zip(x, x[1:], x[2:])) if w in first]
-                    band = max(1, len(sx) // 10)
+                    band = min(max(1, len(sx) // 10), MAX_EDITS)
                     edits = edit_distance(x, y, int(np.median(shifts)), band)
                     out.append((e, t, both / len(sx), edits if edits <= band else None))
             cols = list(zip(*out)) or [()] * 4
@@ -168,7 +193,7 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
     count, a segment may stand at any position of the longer record. Pairs with
     enough of them are verified on the texts: the words' edit distance by banded
     dynamic programming around the diagonal of the common triples (edits; null
-    if beyond a tenth of the triples, as after reordering), and the exact share of triples, which decides.
+    if beyond a tenth of the triples or MAX_EDITS, as after reordering), and the exact share of triples, which decides.
 
     Evaluation segments are few; a bitmap of fixed size keeps training segments
     that cannot match from being shuffled (over very large data it fills up and
