@@ -90,3 +90,22 @@ def test_stream_is_written_once(rows, spark, tmp_path):
         s = stream.triggered(stream.read_metrics(spark, src), 5)
         stream.write_metrics(s, sink, cp).awaitTermination(60)
     assert sorted(r.step for r in spark.read.parquet(sink).select("step").collect()) == [0, 5, 10, 15]
+
+
+def test_written_tables_are_cleaned_up(rows, spark):
+    from textloom import session
+
+    session.clean_up(spark)
+    df = session.materialize(rows([(1,), (None,)], "x int"))
+    assert df.count() == 2 and session.clean_up(spark) == 1 and session.clean_up(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        df.collect()
+
+
+def test_only_small_tables_of_few_files_are_spread(spark, tmp_path):
+    from textloom import session
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Repartition" in plan(session.spread(one, least=1)) and "Repartition" not in plan(session.spread(one, least=1, most=2)) and "Repartition" not in plan(session.spread(one))

@@ -46,6 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[tuple[str, str]] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the tables that this session's queries have written so far; to be called once their results are stored. Returns their number."""
+    own = [(app, path) for app, path in _written if app == spark.sparkContext.applicationId]
+    for entry in own:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry[1])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(entry)
+    return len(own)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes df as a compressed table in the shared folder and reads it again.
 
@@ -53,6 +66,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     expensive step that is read twice runs once. zstd keeps the table small.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _written.append((df.sparkSession.sparkContext.applicationId, path))
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
