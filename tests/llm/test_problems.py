@@ -202,12 +202,37 @@ def test_p3_edges(rows):
     data += [(100 + i, None, f"{prose(50 + i, 9)}\n{notice.format(7)}", "t") for i in range(3)] + [(200, None, None, "s"), (201, None, "", "s"), (202, None, notice, None), (203, None, "short\n" * 9, "s")]
     data += [(300 + i, None, "short line\nshort line", "u") for i in range(9)]
     df = docs(rows, data)
-    hits = lines.line_occurrences(df, lines.repeated_lines(df))
+    table = lines.line_table(df)
+    hits = lines.line_occurrences(table, lines.repeated_lines(table))
     assert {tuple(r) for r in hits.collect()} == {(i, 1) for i in range(20)} == repeated([(d[0], d[3], d[2]) for d in data])
     clean = {r.doc_id: r for r in lines.without_lines(df, hits).collect()}
     assert len(clean) == len(data) and clean[4].text == data[4][2].split("\n")[0] + "\nend" and clean[4].n_removed == 1
     assert all(clean[d[0]].text == d[2] for d in data if d[0] >= 20)
-    assert lines.repeated_lines(df.limit(0)).count() == 0
+    assert lines.repeated_lines(lines.line_table(df.limit(0))).count() == 0
+
+
+def test_p3_lines_without_excess_come_out(rows):
+    """A line that other sources repeat more, and a line of the only source there is: repeated by definition, but no excess."""
+    notice = "The same notice for all of them"
+    many = [(i, None, f"{notice}\n{prose(i, 8)}" if i < 5 else prose(i, 8), "large") for i in range(100)]
+    small = [(1000 + 20 * s + i, None, f"{prose(500 + i, 8)}\n{notice}" if i < 4 else prose(700 + i, 8), f"small{s}") for s in range(5) for i in range(20)]
+    for data, cases in ((many + small, {(i, 0) for i in range(5)}), (many, {(i, 0) for i in range(5)})):
+        table = lines.line_table(docs(rows, data))
+        found = lines.repeated_lines(table).collect()
+        (line,) = [r for r in found if r.n_docs == 5 and r.src == "large"]
+        assert {tuple(r) for r in lines.line_occurrences(table, lines.repeated_lines(table)).collect()} == cases == repeated([(d[0], d[3], d[2]) for d in data])
+        assert line.src_docs == 100 and line.out_of == len(data) - 100 and line.out_docs == (20 if data != many else 0) and not line.excess
+    spread = [(i, None, f"{notice}\n{prose(i, 8)}" if i < 50 else prose(i, 8), "s" if i < 100 else "t") for i in range(200)]
+    (line,) = lines.repeated_lines(lines.line_table(docs(rows, spread))).collect()
+    assert line.excess and line.llr > 50
+
+
+def test_p3_removes_many_lines(rows):
+    text = "\n".join(str(i) for i in range(40_000))
+    df = docs(rows, [(1, None, text, "s"), (2, None, "a\nb", "s"), (3, None, None, "s")])
+    found = rows([(1, i) for i in range(0, 40_000, 2)] + [(2, 0), (2, 1)], "doc_id bigint, line_no bigint")
+    out = {r.doc_id: (r.text, r.n_removed) for r in lines.without_lines(df, found).collect()}
+    assert out == {1: ("\n".join(str(i) for i in range(1, 40_000, 2)), 20_000), 2: ("", 2), 3: (None, 0)}
 
 
 # --- problem 4

@@ -14,13 +14,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return lines.line_occurrences(docs, lines.repeated_lines(docs))
+    rows = lines.line_table(table(spark, folder, "documents"))
+    return lines.line_occurrences(rows, lines.repeated_lines(rows))
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "bookshelf_id", "text")
-    found = lines.line_occurrences(docs, lines.repeated_lines(docs))
+    rows = lines.line_table(docs)
+    found = lines.line_occurrences(rows, lines.repeated_lines(rows))
     return lines.without_lines(docs, found).select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"))
 
 
