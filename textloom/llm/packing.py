@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.bpe import BYTE_BPE_50K
 from textloom.llm.tokencount import token_counts
+from textloom.session import materialize
 
 CAPACITY = 4096
 
@@ -69,19 +70,21 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     """(doc_id, piece_no, start_token, n_tokens, container_id): each document's place.
 
     A document of more than capacity tokens is cut into full pieces and a rest; no
-    other is split. Documents are spread by the hash of their id over shards of about
-    shard_docs, each packed by itself in the order of that hash: a few open
-    containers a shard are the price for packing all shards at once. Documents
-    without tokens (null, empty) come out once, with piece 0 of 0 tokens and null container_id.
-    Rows with the same id are packed as separate items.
+    other is split. Sizes are counted once and written. Documents are spread by the
+    hash of their id over shards of about shard_docs, each packed by itself, in a
+    task of its own, in the order of that hash: a few open containers a shard are
+    the price for packing all shards at once. Documents without tokens (null, empty)
+    come out once, with piece 0 of 0 tokens and null container_id. Rows with the
+    same id are packed as separate items.
     """
-    counted = token_counts(docs, text, doc_id, path=path).select(F.col(doc_id).cast("long").alias("doc_id"), "n_tokens")
-    shards = max(1, -(-docs.count() // shard_docs))
+    counted = materialize(token_counts(docs, text, doc_id, path=path).select(F.col(doc_id).cast("long").alias("doc_id"), "n_tokens"))
+    shards = max(1, -(-counted.count() // shard_docs))
     turn = F.xxhash64("doc_id")
-    sharded = counted.where(F.col("n_tokens") > 0).select("doc_id", "n_tokens", turn.alias("turn"), F.pmod(turn, F.lit(shards)).alias("shard"))
-    packed = sharded.groupBy("shard").applyInArrow(_pack(capacity), "doc_id bigint, piece_no bigint, start_token bigint, n_tokens bigint, container_id bigint")
+    sharded = counted.where(F.col("n_tokens") > 0).select("doc_id", "n_tokens", turn.alias("turn"), F.pmod(turn, F.lit(shards)).cast("int").alias("shard"))
+    # a partition a shard: packing takes long for the bytes it reads, so shards must not be merged by size
+    packed = sharded.repartitionById(shards, "shard").groupBy("shard").applyInArrow(_pack(capacity), "doc_id bigint, piece_no bigint, start_token bigint, n_tokens bigint, container_id bigint")
     zero = F.lit(0).cast("long")
-    bare = docs.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(F.col(doc_id).cast("long").alias("doc_id"), zero.alias("piece_no"), zero.alias("start_token"), zero.alias("n_tokens"), F.lit(None).cast("long").alias("container_id"))
+    bare = counted.where("n_tokens = 0").select("doc_id", zero.alias("piece_no"), zero.alias("start_token"), zero.alias("n_tokens"), F.lit(None).cast("long").alias("container_id"))
     return packed.unionAll(bare)
 
 
