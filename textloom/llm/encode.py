@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,32 +118,79 @@ def fold_merges(word: Column, path: str = BYTE_BPE_50K) -> Column:
     return _let(table, encode).cast("array<int>")
 
 
-def words_by_block(docs: DataFrame, text: str, blocks: int, doc_id: str) -> DataFrame:
-    """(block, word): the distinct words of each block of documents. Each document's are made distinct first, then each task's, before they are shuffled."""
-    words = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(SEGMENTS), F.lit(0)))
-    # explode would make the optimizer filter by the array's size first, and cut the text once more for that
-    return docs.select(block_of(doc_id, blocks), F.explode_outer(words).alias("word")).where(F.col("word").isNotNull()).distinct()
+class _Codes(dict):
+    """Numbers words in the order of their first look-up."""
 
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        return code
 
-def block_of(doc_id: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(blocks)).alias("block")
 
+_CUT = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.list_(pa.int32())), ("code", pa.int32()), ("word", pa.string())])
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = BYTE_BPE_50K, block_docs: int = 4000) -> DataFrame:
+
+def _cut(block_chars: int):
+    """Cuts texts into words, once. A task's documents are put into blocks of about block_chars characters; a block comes out as one row a document, with the codes of its words, and one row for each of the block's distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, task = regex.compile(SEGMENTS).findall, TaskContext.get().partitionId() << 32
+        codes, docs, size = _Codes(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n, m = len(docs), len(codes)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(c) for _, c in docs)]), pa.int32()), pa.array(np.concatenate([c for _, c in docs])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task)), pa.array([i for i, _ in docs], pa.int64()), lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=_CUT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.array(np.arange(m), pa.int32()), pa.array(list(codes), pa.string())], schema=_CUT)
+
+        for batch in batches:
+            for i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                docs.append((i, np.fromiter(map(codes.__getitem__, segments(t)), np.int32) if t else np.empty(0, np.int32)))
+                size += len(t or "")
+                if size >= block_chars:
+                    yield from flush()
+                    codes, docs, size, task = _Codes(), [], 0, task + 1
+        if docs:
+            yield from flush()
+
+    return run
+
+
+def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block's documents with their words' ids put in place of the codes."""
+    turn = np.argsort(right.column("code").to_numpy())
+    ids = right.column("ids").combine_chunks()
+    ids = ids.take(pa.array(turn)) if len(turn) else ids
+    flat, lengths = ids.flatten().to_numpy(zero_copy_only=False), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    words = left.column("codes").combine_chunks()
+    codes, per_doc = words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False)
+    taken = lengths[codes]
+    ends = np.concatenate([[0], np.cumsum(taken)])
+    at = np.repeat(starts[codes] - ends[:-1], taken) + np.arange(ends[-1])
+    bounds = ends[np.concatenate([[0], np.cumsum(per_doc)])]
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[at], pa.int32()))
+    return pa.table({"doc_id": left.column("doc_id"), "ids": lists})
+
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = BYTE_BPE_50K, block_chars: int = 8_000_000, fold_words: int = 25_000) -> DataFrame:
     """(doc_id, ids): the token ids of each document without special tokens, whose strings are plain text; an empty list for null and empty texts.
 
-    The corpus's distinct words are encoded once, by a fold of ranked merges
-    (words of more than FOLD_BYTES bytes by a walk over the vocabulary's trie, with
-    the same result). Documents are spread over blocks of about block_docs by the hash
-    of their id; each block receives the ids of its own words only, so no task
-    holds the corpus's dictionary, and puts the documents' ids together.
-    Repeated rows are encoded each. Letters newer than the engine's Unicode version may be cut differently by the pattern.
+    Texts are cut into words where they lie, once, and written as codes of their
+    block's distinct words; a block has about block_chars characters, so what a task
+    holds does not depend on how long documents are. The corpus's distinct words are
+    encoded once, by a fold of ranked merges in tasks of about fold_words (words of
+    more than FOLD_BYTES bytes by a walk over the vocabulary's trie, with the same
+    result); each block receives the ids of its own words only, and puts them in
+    place of the codes. Repeated rows are encoded each. Letters newer than the pattern library's Unicode version may be cut differently.
     """
     spark = docs.sparkSession
-    blocks = max(1, -(-docs.count() // block_docs))
     shared = vocabulary(spark, path)
-    own = materialize(words_by_block(docs, text, blocks, doc_id))
-    words = own.select("word").repartition(blocks, "word").distinct()  # a fold's work is more than its bytes show, so partitions must not be merged by size
+    cut = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_cut(block_chars), "block bigint, doc_id bigint, codes array<int>, code int, word string"))
+    own = cut.where(F.col("word").isNotNull()).select("block", "code", "word")
+    texts = cut.where(F.col("word").isNull()).select("block", "doc_id", "codes")
+    sizes = own.agg(F.count("*").alias("words"), F.countDistinct("block").alias("blocks")).first()
+    # a fold's work is more than its bytes show, so partitions must not be merged by size
+    words = own.select("word").repartition(max(1, -(-sizes.words // fold_words)), "word").distinct()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,26 +200,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     short = words.where(F.octet_length("word") <= FOLD_BYTES).select("word", fold_merges(F.col("word"), path).alias("ids"))
     long = words.where(F.octet_length("word") > FOLD_BYTES).mapInArrow(walk, "word string, ids array<int>")
     known = materialize(short.unionAll(long))
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist()))
-        segments = regex.compile(SEGMENTS).findall
-        flat, ends = [], [0]
-        for chunk in left.column("text").chunks:
-            for t in chunk.to_pylist():
-                if t:
-                    try:
-                        flat.extend(chain.from_iterable(map(ids.__getitem__, segments(t))))
-                    except KeyError:  # the two pattern engines' Unicode versions cut this text differently
-                        del flat[ends[-1] :]
-                        flat.extend(chain.from_iterable(ids.get(w) or encoder(path, shared).encode(w) for w in segments(t)))
-                ends.append(len(flat))
-        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat, pa.int32()))
-        return pa.table({"doc_id": left.column("doc_id"), "ids": lists})
-
-    parts = docs.select(block_of(doc_id, blocks), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartition(blocks, "block")
-    ids = own.join(known, "word").select("block", "word", "ids").repartition(blocks, "block")
-    return parts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, "doc_id bigint, ids array<int>")
+    blocks = max(1, sizes.blocks)
+    ids = own.join(known, "word").select(F.col("block").alias("of"), "code", "ids").repartition(blocks, "of")
+    return texts.repartition(blocks, "block").groupBy("block").cogroup(ids.groupBy("of")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
 @lru_cache(maxsize=4)
