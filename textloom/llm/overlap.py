@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -16,10 +17,11 @@ from textloom.llm.pairing import with_both
 from textloom.llm.words import WordHashes, shingle_hashes, triples, words_of
 from textloom.session import materialize
 
-SEGMENT = 5  # words a segment
-KEEP, LOSS = 0.75, 0.65  # shares of a record's segments: chosen, and at most spoilt by edits
-MAX_EDITS, _CELLS = 64, 1 << 21  # edits that are counted at most; cells of a table that is made whole
-_BITS = 26  # the evaluation segments' bitmap has 2^26 bits (8 MB), whatever the data's size
+SEGMENT = 3  # words a segment: a segment is a triple, so that what is lost is counted as the definition counts it
+SPARE = 0.05  # share of a record's segments that it chooses beyond those that must be; a pair then needs so many more in common
+MAX_EDITS, _CELLS = 64, 1 << 21  # the widest band of the edit distance; cells of a table that is made whole
+_KEY, _HALF = np.uint64(16), np.uint64(1 << 47)  # keys are the upper 48 bits of hashes; those below _HALF are the first half
+FILTER_BITS = 1 << 29  # a filter of at most 64 MB is broadcast; beyond it segments travel unfiltered
 
 
 def normal_split(split: Column) -> Column:
@@ -28,39 +30,66 @@ def normal_split(split: Column) -> Column:
     return F.when(s == "validation", "val").otherwise(s)
 
 
-def _segments(min_words: int, bitmap, block: int = 1_000_000):
-    """Rows (id, copy, n, rare, rest) of a task's records, handled in blocks of so many words.
+def _lost(n: int, least: tuple[int, int]) -> int:
+    """How many of n triples a record may lose and still have the share least in common."""
+    return n + (-least[0] * n) // least[1]
 
-    rare holds the floor(KEEP * m) + 1 of the record's m distinct segments that the
-    block saw least, rest the others. The block stands for the corpus: any choice
-    of segments finds all pairs, a rarer one finds fewer others. With a bitmap, only
-    segments whose bit is set are kept, and records without any are dropped.
+
+class _Filter:
+    """Which keys may be among a set: a table of bits, one a key; None lets all pass, an empty one none."""
+
+    def __init__(self, bits: bytes | None, width: int) -> None:
+        self.bits, self.width = bits, width
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return keys
+        if not self.bits:
+            return keys[:0]
+        at = _places(keys, self.width)
+        return keys[(np.frombuffer(self.bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+
+
+def _places(keys: np.ndarray, width: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
+
+
+def _segments(min_words: int, least: tuple[int, int], others, block: int = 1_000_000):
+    """Rows (id, copy, n, need, odd, chosen, rest, other) of a task's records, handled in blocks of so many words.
+
+    A record of n triples may lose k of them. It chooses k + 1 segments and some
+    more, of the first half of the hashes: those that its block saw least. The block
+    stands for the corpus: any choice finds all pairs, a rarer one finds fewer
+    others. need of them must be met. rest are the first half's others. A record
+    with at most k segments in the first half is odd and chooses from the second;
+    other are the segments of the second half that pass the filter others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+        passing = others.value if others is not None else _Filter(None, 0)
 
         def lists(values: list[np.ndarray]) -> pa.ListArray:
             flat = np.concatenate([*values, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
             return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            flat = np.concatenate([r[3] for r in rows])
-            _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+            _, inverse, counts = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
             seen, at, out = counts[inverse], 0, []
-            for i, copy, n, h in rows:
-                turn = np.argsort(seen[at : at + len(h)], kind="stable")
-                at += len(h)
-                cut = int(KEEP * len(h)) + 1
-                rare, rest = h[turn[:cut]], h[turn[cut:]]
-                if bits is not None:
-                    rare, rest = (x[(bits[(x >> np.uint64(64 - _BITS + 3)).astype(np.int64)] >> (x >> np.uint64(64 - _BITS) & np.uint64(7)).astype(np.uint8)) & 1 == 1] for x in (rare, rest))
-                    if not len(rare) + len(rest):
-                        continue
-                out.append((i, copy, n, rare, rest))
-            ids, copies, sizes, rares, rests = zip(*out) if out else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), lists(list(rares)), lists(list(rests))], ["id", "copy", "n", "rare", "rest"])
+            for i, copy, n, keys in rows:
+                half, k = int(np.searchsorted(keys, _HALF)), _lost(n, least)
+                odd = half <= k
+                pool, often = (keys[half:], seen[at + half : at + len(keys)]) if odd else (keys[:half], seen[at : at + half])
+                at += len(keys)
+                take = np.zeros(len(pool), bool)
+                take[np.argsort(often, kind="stable")[: k + 1 + int(SPARE * n)]] = True
+                chosen = pool[take]
+                out.append((i, copy, n, len(chosen) - k, odd, chosen, keys[:half] if odd else pool[~take], passing(keys[half:])))
+            ids, copies, sizes, needs, odds, chosens, rests, seconds = zip(*out)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(odds, pa.bool_()), lists(list(chosens)), lists(list(rests)), lists(list(seconds))],
+                ["id", "copy", "n", "need", "odd", "chosen", "rest", "other"],
+            )
 
         rows, size = [], 0
         for batch in batches:
@@ -68,7 +97,8 @@ def _segments(min_words: int, bitmap, block: int = 1_000_000):
                 words = words_of(title, text)
                 if len(words) >= min_words:
                     ids = known.of(words)
-                    rows.append((i, blake2b(ids.tobytes(), digest_size=16).digest(), len(np.unique(shingle_hashes(ids, 3))), np.unique(shingle_hashes(ids, SEGMENT))))
+                    t = np.unique(shingle_hashes(ids, SEGMENT))
+                    rows.append((i, blake2b(ids.tobytes(), digest_size=16).digest(), len(t), np.unique(t >> _KEY)))
                     size += len(words)
                     if size >= block:
                         yield flush(rows)
@@ -79,31 +109,32 @@ def _segments(min_words: int, bitmap, block: int = 1_000_000):
     return run
 
 
-_SCHEMA = "id bigint, copy binary, n bigint, rare array<bigint>, rest array<bigint>"
+_SCHEMA = "id bigint, copy binary, n int, need int, odd boolean, chosen array<bigint>, rest array<bigint>, other array<bigint>"
 
 
-def _segment_bitmap(rows: DataFrame) -> bytes:
-    """A bitmap of fixed size with the bit of every segment. Each task ORs its own, compresses it, and two rounds of merging bring one bitmap to the driver."""
+def _filter_of(rows: DataFrame) -> _Filter:
+    """A filter of the segments that odd records chose, with 16 to 32 bits for each. Each task ORs its own, and two rounds of merging bring one table of bits to the driver."""
+    number = rows.where("odd").agg(F.sum(F.size("chosen").cast("long"))).first()[0] or 0
+    width = max(10, (16 * number).bit_length())
+    if not number or 1 << width > FILTER_BITS:
+        return _Filter(None if number else b"", 0)
 
-    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << _BITS - 3, np.uint8)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << width - 3, np.uint8)
         for batch in batches:
-            for column in batch.columns:
-                at = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - _BITS)
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            at = _places(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), width)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)], pa.binary())], ["b"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << _BITS - 3, np.uint8)
+        bits = np.zeros(1 << width - 3, np.uint8)
         for batch in batches:
             for b in batch.column(0):
                 bits |= np.frombuffer(zlib.decompress(b.as_py()), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)], pa.binary())], ["b"])
 
-    parts = rows.select("rare", "rest").mapInArrow(of_task, "b binary")
-    merged = parts.repartition(32).mapInArrow(union, "b binary").repartition(1).mapInArrow(union, "b binary")
-    row = merged.first()
-    return zlib.decompress(row[0]) if row else bytes(1 << _BITS - 3)
+    parts = rows.where("odd").select("chosen").mapInArrow(task, "b binary")
+    return _Filter(zlib.decompress(parts.repartition(32).mapInArrow(union, "b binary").repartition(1).mapInArrow(union, "b binary").first()[0]), width)
 
 
 def _slides(x: np.ndarray, y: np.ndarray, d: np.ndarray):
@@ -161,82 +192,112 @@ def edit_distance(x: list, y: list, diagonal: int, band: int) -> int:
 
 def _verify(least: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             out: list[tuple] = []
             for e, t, left, right in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = (words_of(r["title"], r["text"]) for r in (left, right))
-                sx, sy = triples(x), triples(y)
-                if len(sy) < len(sx):
-                    x, y, sx, sy = y, x, sy, sx
-                both = len(sx & sy)
-                if both * least[1] >= least[0] * len(sx):
-                    first = {w: i for i, w in reversed(list(enumerate(zip(y, y[1:], y[2:]))))}
-                    shifts = [first[w] - i for i, w in enumerate(zip(x, x[1:], x[2:])) if w in first]
-                    band = min(max(1, len(sx) // 10), MAX_EDITS)
-                    edits = edit_distance(x, y, int(np.median(shifts)), band)
-                    out.append((e, t, both / len(sx), edits if edits <= band else None))
+                (hx, ix), (hy, iy) = (np.unique(shingle_hashes(known.of(z), SEGMENT), return_index=True) for z in (x, y))
+                if len(hy) < len(hx):
+                    x, y, hx, hy, ix, iy = y, x, hy, hx, iy, ix
+                n, k = len(hx), _lost(len(hx), least)
+                at = np.minimum(np.searchsorted(hy, hx), len(hy) - 1)
+                met = hy[at] == hx
+                both = int(met.sum())
+                if both < n - k:  # the count filter: no k / 3 edits lead from x to a part of y, nor is the share reached otherwise
+                    continue
+                edits, band = 0, min(k // 3, MAX_EDITS)
+                if f" {' '.join(x)} " not in f" {' '.join(y)} ":
+                    edits = edit_distance(x, y, int(np.median(iy[at[met]] - ix[met])), max(1, band))
+                if edits > band:  # not by edits, or by more than the band holds: the definition itself
+                    sx, sy = triples(x), triples(y)
+                    edits, both, n = None, len(sx & sy), len(sx)
+                if edits is not None or both * least[1] >= least[0] * n:
+                    out.append((e, t, both / n, edits))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["e", "t", "containment", "edits"])
 
     return run
 
 
-def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "split", title: str = "title", text: str = "text", min_words: int = 20, least: tuple[int, int] = (7, 10)) -> DataFrame:
-    """(e, t, containment, edits): pairs of an evaluation and a training record that share at least least (a fraction) of the smaller one's word triples.
-
-    A segment join for edit distance over words. Segments are runs of five words.
-    With at most 30 % of its triples lost, a record has lost at most LOSS of its
-    segments: an inserted word costs two triples and four segments, a replaced one
-    three and five. So of any floor(KEEP * m) + 1 segments of the smaller record some remain,
-    and with the rarest ones (notices come last) chosen on both sides, pairs are
-    counted by those of the smaller one's chosen segments that are the other's. As excerpts
-    count, a segment may stand at any position of the longer record. Pairs with
-    enough of them are verified on the texts: the words' edit distance by banded
-    dynamic programming around the diagonal of the common triples (edits; null
-    if beyond a tenth of the triples or MAX_EDITS, as after reordering), and the exact share of triples, which decides.
-
-    Evaluation segments are few; a bitmap of fixed size keeps training segments
-    that cannot match from being shuffled (over very large data it fills up and
-    keeps all; the result is the same). Records of the same words take part once a side.
-
-    Train is a split that is 'train' when trimmed and lower-cased, evaluation any
-    other; rows with null split or id, and records under min_words words, are never
-    cases. Null title or text counts as empty. Extra columns are ignored.
+@dataclass(frozen=True)
+class Overlaps:
+    """found (e, t, containment, edits): pairs of classes of records of the same words, by their least ids; evaluation and training (id, rep): the members of each side's classes."""
+
+    found: DataFrame
+    evaluation: DataFrame
+    training: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(e, t, containment, edits) of all members."""
+        e, t = (m.select(F.col("id").alias(x), F.col("rep").alias(f"rep_{x}")) for m, x in ((self.evaluation, "e"), (self.training, "t")))
+        found = self.found.select(F.col("e").alias("rep_e"), F.col("t").alias("rep_t"), "containment", "edits")
+        return found.join(e, "rep_e").join(t, "rep_t").select("e", "t", "containment", "edits")
+
+
+def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "split", title: str = "title", text: str = "text", min_words: int = 20, least: tuple[int, int] = (7, 10)) -> Overlaps:
+    """Pairs of an evaluation and a training record that share at least least (a fraction) of the smaller one's word triples.
+
+    A segment join for edit distance over words. The smaller record has n triples
+    and may lose k = n - least * n of them; an edit of a word costs at most three.
+    Of any k + 1 of its segments (runs of three words) one remains, so each record
+    chooses k + 1 and a few more, the rarest ones (notices come last), and they meet
+    the other side's segments at any position, as excerpts and texts in another order
+    count too. No pair is lost, whatever its edits. So that only half of all segments
+    travel, both sides keep to one half of the hashes; the few records with at most k
+    segments in it choose from the other half, where the evaluation's choices filter
+    what training sends (a filter sized by their number, up to FILTER_BITS; without it
+    the result is the same).
+
+    Pairs with enough segments in common are verified on the texts: those with too
+    few common triples for k / 3 edits or the share fall to the count filter; up to
+    k / 3 edits by the words' banded edit distance to a part of the longer record, around
+    the median diagonal, make a near copy; for the rest (reordered, more edits, or
+    beyond MAX_EDITS) the exact share of triples decides, and edits is null.
+
+    Records of the same words take part once a side. Train is a split that is 'train'
+    when trimmed and lower-cased, evaluation any other; rows with null split or id,
+    and records under min_words words, are never cases. Null title or text counts as
+    empty. Extra columns are ignored.
     """
     side = normal_split(F.col(split))
     rows = records.where(F.col(rec_id).isNotNull())
     cols = (F.col(rec_id).cast("long").alias("id"), F.col(title).alias("title"), F.col(text).alias("text"))
     spark = records.sparkSession
-    evaluation = materialize(rows.where(side != "train").select(*cols).mapInArrow(_segments(min_words, None), _SCHEMA))
-    bitmap = spark.sparkContext.broadcast(_segment_bitmap(evaluation))
-    training = materialize(rows.where(side == "train").select(*cols).mapInArrow(_segments(min_words, bitmap), _SCHEMA))
-
-    def exploded(table: DataFrame, node: str, *flags: tuple[str, bool, list[int]]) -> DataFrame:
-        """One row for each representative's segment and flag, with whether the record chose it."""
-        keys = table.select("id", "copy")
-        doubles = materialize(keys.join(keys.groupBy("copy").agg(F.min("id").alias("least")), "copy").where("id <> least").select("id"))
-        reps = table.join(doubles, "id", "left_anti")
-        row = lambda chosen, f: lambda h: F.struct(h.alias("h"), F.lit(f).cast("byte").alias("f"), F.lit(chosen).alias("c"))
-        marked = F.concat(*(F.transform(column, row(chosen, f)) for column, chosen, fs in flags for f in fs))
-        return reps.select(F.col("id").alias(node), F.col("n").alias(f"n{node}"), F.explode(marked).alias("s")).select("s.h", "s.f", node, f"n{node}", F.col("s.c").alias(f"c{node}"))
-
-    # flag 1: the evaluation record chose the segment; it may meet any of training's. Flag 0: it did not; it may meet those that the training record chose.
-    e = exploded(evaluation, "a", ("rare", True, [1]), ("rest", False, [0]))
-    t = exploded(training, "b", ("rare", True, [1, 0]), ("rest", False, [1]))
-    small = F.least("na", "nb")
-    shared = F.count(F.when(F.when(F.col("na") <= F.col("nb"), F.col("ca")).otherwise(F.col("cb")), 1))
-    met = e.join(t, ["h", "f"]).groupBy("a", "b", "na", "nb").agg(shared.alias("shared"))
-    needed = F.greatest(F.lit(1), F.floor((KEEP - LOSS) * small) - 2)
-    candidates = materialize(met.where(F.col("shared") >= needed).select("a", "b"))
+    evaluation = materialize(rows.where(side != "train").select(*cols).mapInArrow(_segments(min_words, least, None), _SCHEMA))
+    others = spark.sparkContext.broadcast(_filter_of(evaluation))
+    training = materialize(rows.where(side == "train").select(*cols).mapInArrow(_segments(min_words, least, others), _SCHEMA))
+    members = lambda table: table.select("id", "copy").join(table.groupBy("copy").agg(F.min("id").alias("rep")), "copy").select("id", "rep")
+    members_e, members_t = members(evaluation), members(training)
+
+    def exploded(table: DataFrame, classes: DataFrame, node: str, *kinds: tuple[Column, int, bool]) -> DataFrame:
+        """One row for each segment of a class and kind of meeting; the kind is part of the key."""
+        reps = table.join(materialize(classes.where("id <> rep").select("id")), "id", "left_anti")
+        row = lambda kind, chosen: lambda h: F.struct((h * 4 + kind).alias("h"), F.lit(chosen).alias("c"))
+        marked = F.concat(*(F.transform(column, row(kind, chosen)) for column, kind, chosen in kinds))
+        return reps.select(F.col("id").alias(node), F.col("n").alias(f"n{node}"), F.col("need").alias(f"need{node}"), F.explode(marked).alias("s")).select("s.h", node, f"n{node}", f"need{node}", F.col("s.c").alias(f"c{node}"))
+
+    none = F.array().cast("array<bigint>")
+    odd = lambda c: F.when(F.col("odd"), F.col(c)).otherwise(none)
+    even = lambda c: F.when(F.col("odd"), none).otherwise(F.col(c))
+    # kinds: 0 the evaluation record chose the segment and meets all of training's first half; 1 it did not, and meets what training chose; 2 and 3 the same for odd records in the second half
+    e = exploded(evaluation, members_e, "a", (even("chosen"), 0, True), (F.col("rest"), 1, False), (odd("chosen"), 2, True), (F.col("other"), 3, False))
+    t = exploded(training, members_t, "b", (even("chosen"), 0, True), (F.col("rest"), 0, False), (even("chosen"), 1, True), (F.col("other"), 2, False), (odd("chosen"), 3, True))
+    smaller = F.when(F.col("na") <= F.col("nb"), F.col("ca")).otherwise(F.col("cb"))
+    need = F.when(F.col("na") <= F.col("nb"), F.col("needa")).otherwise(F.col("needb"))
+    met = e.join(t, "h").where(smaller).groupBy("a", "b", need.alias("need")).agg(F.count("*").alias("shared"))
+    candidates = materialize(met.where("shared >= need").select("a", "b"))
     both = with_both(candidates, rows, rec_id, F.col(title).alias("title"), F.col(text).alias("text"))
     found = both.select("a", "b", "left", "right").mapInArrow(_verify(least), "e bigint, t bigint, containment double, edits bigint")
-    of = lambda table, x: table.select("copy", F.col("id").alias(x)).join(table.groupBy("copy").agg(F.min("id").alias(f"rep_{x}")), "copy").select(x, f"rep_{x}")
-    return found.select(F.col("e").alias("rep_e"), F.col("t").alias("rep_t"), "containment", "edits").join(of(evaluation, "e"), "rep_e").join(of(training, "t"), "rep_t").select("e", "t", "containment", "edits")
+    return Overlaps(found, members_e, members_t)
 
 
-def overlap_report(records: DataFrame, found: DataFrame, rec_id: str = "rec_id", split: str = "split", source: str = "bookshelf_id") -> DataFrame:
-    """(split, bookshelf_id, n_records, n_overlapping, n_pairs, n_same): of each evaluation split and source, the records, those with a partner in train, the pairs and those of them without an edit. Null sources are a source of their own; sources without overlaps are listed too."""
-    of = found.groupBy("e").agg(F.count("*").alias("pairs"), F.count(F.when(F.col("edits") == 0, 1)).alias("same"))
+def overlap_report(records: DataFrame, overlaps: Overlaps, rec_id: str = "rec_id", split: str = "split", source: str = "bookshelf_id") -> DataFrame:
+    """(split, bookshelf_id, n_records, n_overlapping, n_pairs, n_same): of each evaluation split and source, the records, those with a partner in train, the pairs and those of them without an edit. Null sources are a source of their own; sources without overlaps are listed too. Pairs are counted by the sizes of classes, never written."""
+    sizes = overlaps.training.groupBy("rep").agg(F.count("*").alias("size"))
+    found = overlaps.found.join(sizes, F.col("t") == F.col("rep"))
+    of = found.groupBy(F.col("e").alias("rep")).agg(F.sum("size").alias("pairs"), F.sum(F.when(F.col("edits") == 0, F.col("size")).otherwise(0)).alias("same"))
     kind = normal_split(F.col(split))
     own = records.where(kind != "train").select(F.col(rec_id).alias("e"), kind.alias("split"), F.col(source).alias("bookshelf_id"))
-    return own.join(of, "e", "left").groupBy("split", "bookshelf_id").agg(F.count("*").alias("n_records"), F.count("pairs").alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_same"))
+    each = overlaps.evaluation.join(of, "rep").select(F.col("id").alias("e"), "pairs", "same")
+    return own.join(each, "e", "left").groupBy("split", "bookshelf_id").agg(F.count("*").alias("n_records"), F.count("pairs").alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("same"), F.lit(0)).alias("n_same"))
