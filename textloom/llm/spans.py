@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.llm.pairing import bucket_pairs, expand, with_both
-from textloom.operators.components import components
+from textloom.llm.components import components
+from textloom.llm.pairing import bucket_pairs
 from textloom.session import materialize
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -38,21 +39,29 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all runs of k code points, by prefix sums of a polynomial modulo 2^64."""
-    n = len(codes)
-    if n < k:
-        return np.empty(0, np.uint64)
-    up, down = _powers.upto(n)
+def prefix_sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial in the base modulo 2^64, and the base's inverse powers."""
+    up, down = _powers.upto(len(codes) + 1)
     c = codes.astype(np.uint64)
     c = (c ^ (c >> np.uint64(7))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * up)])
-    h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * up[:-1])]), down
+
+
+def run_hashes(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs [start, end) of the code points that sums were made of."""
+    s, down = sums
+    h = (s[end] - s[start]) * down[start]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
 
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k code points."""
+    at = np.arange(max(0, len(codes) - k + 1))
+    return run_hashes(prefix_sums(codes), at, at + k)
+
+
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     """The least value of each run of w values, from running minima of blocks of w (forwards and backwards)."""
     n = len(h) - w + 1
@@ -63,155 +72,156 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def paragraph_minhashes(text: str, span: int, gram: int) -> np.ndarray:
-    """The distinct MinHashes of all paragraphs of span characters, over their grams: two equal paragraphs have the same one with certainty."""
-    h = gram_hashes(code_points(text), gram)
-    w = span - gram + 1
-    if len(h) < w:
-        return np.empty(0, np.uint64)
-    m = window_minima(h, w)
-    return np.unique(m[np.concatenate([[True], m[1:] != m[:-1]])])
+@dataclass(frozen=True)
+class Shared:
+    """What documents share, as tables none of which has a row for a pair.
 
+    hits (v, h, id, lo, hi): the blocks of documents whose MinHash v other documents
+    have too; blocks (v, h, first, last): distinct blocks with the least and the
+    greatest document that has them; windows (v, key, h, off, first): paragraphs that
+    different documents have though they lie in different blocks, by the offset in
+    their block, with the least document that has them. span is their length.
+    """
 
-def _minhash_rows(span: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [paragraph_minhashes(t.as_py(), span, gram).view(np.int64) for t in batch.column(2)]
-            ends = np.cumsum([0, *map(len, values)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "copy", "minhashes"])
+    hits: DataFrame
+    blocks: DataFrame
+    windows: DataFrame
+    span: int
+
+
+def paragraph_blocks(text: str, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(v, h, lo, hi): the maximal runs of paragraphs (windows of span characters) that have the same MinHash v over their grams. Paragraphs lo to hi, both included; h is the hash of all characters that they cover."""
+    codes = code_points(text)
+    sums = prefix_sums(codes)
+    at = np.arange(max(0, len(codes) - gram + 1))
+    g = run_hashes(sums, at, at + gram)
+    w = span - gram + 1
+    if len(g) < w:
+        none = np.empty(0, np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
+    m = window_minima(g, w)
+    lo = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    hi = np.concatenate([lo[1:], [len(m)]]) - 1
+    return m[lo], run_hashes(sums, lo, hi + span) + (hi - lo).astype(np.uint64), lo, hi
 
-    return run
 
+_BLOCKS = pa.struct([("v", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
-def _paragraph_rows(span: int, gram: int):
-    """Rows (id, k): hashes of the whole paragraphs whose MinHash is one of the given."""
 
+def _block_rows(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for i, text, hot in zip(*(c.to_pylist() for c in batch.columns)):
-                codes = code_points(text)
-                m = window_minima(gram_hashes(codes, gram), span - gram + 1)
-                h = np.unique(gram_hashes(codes, span)[np.isin(m, np.array(hot, np.int64).view(np.uint64))])
-                ids.append(np.full(len(h), i, np.int64))
-                keys.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*c, np.empty(0, np.int64)])) for c in (ids, keys)], ["id", "k"])
+            found = [paragraph_blocks(t, span, gram) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(f[0]) for f in found)])
+            v, h, lo, hi = (np.concatenate([*(f[i] for f in found), np.empty(0, t)]) for i, t in enumerate((np.uint64, np.uint64, np.int64, np.int64)))
+            rows = pa.StructArray.from_arrays([pa.array(v.view(np.int64)), pa.array(h.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], fields=list(_BLOCKS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["id", "blocks"])
 
     return run
 
 
-def shared_positions(a: np.ndarray, b: np.ndarray, span: int, hb: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs of span code points of a that occur in b, and of those of b that occur in a, compared character by character."""
-    ha, hb = gram_hashes(a, span), gram_hashes(b, span)
-    sa, sb = np.flatnonzero(np.isin(ha, hb)), np.flatnonzero(np.isin(hb, ha))
-    if len(sa):
-        # equal hashes are checked once for each maximal piece: a piece of consecutive starts has the same text as its partner's
-        ob = sb[np.argsort(hb[sb], kind="stable")]
-        at = ob[np.searchsorted(hb[ob], ha[sa])]
-        same = np.ones(len(sa), bool)
-        for lo in range(0, len(sa), 4096):
-            x, y = sa[lo : lo + 4096], at[lo : lo + 4096]
-            head = np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)])
-            for i in np.flatnonzero(head):
-                same[lo + i] = np.array_equal(a[x[i] : x[i] + span], b[y[i] : y[i] + span])
-            tail = np.flatnonzero(~head)
-            same[lo + tail] = a[x[tail] + span - 1] == b[y[tail] + span - 1]
-        if not same.all():  # a collision of 64-bit hashes
-            sa = sa[same]
-            sb = sb[np.isin(hb[sb], ha[sa])]
-    return sa, sb
-
-
-def runs(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
-    """Disjoint [start, end) intervals that the spans at these starts cover."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > span) + 1
-    return [(int(p[0]), int(p[-1]) + span) for p in np.split(starts, cut)]
-
-
-_RUN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
-def _verify(span: int):
+def _window_rows(span: int):
+    """Rows (v, key, h, off, first, last): the hashes of all paragraphs of the given blocks of a text, with the blocks' own columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("v", "h", "first", "last")
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for a, b, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                sa, sb = shared_positions(code_points(left["text"]), code_points(right["text"]), span)
-                if len(sa):
-                    for column, x in zip(out, (a, b, runs(sa, span), runs(sb, span))):
-                        column.append(x)
-            struct = lambda rows: pa.array([[{"start": s, "end": e} for s, e in r] for r in rows], _RUN)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), struct(out[2]), struct(out[3])], ["a", "b", "runs_a", "runs_b"])
+            parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
+            for text, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                sums = prefix_sums(code_points(text))
+                for b in blocks:
+                    at = np.arange(b["lo"], b["hi"] + 1)
+                    keys = run_hashes(sums, at, at + span).view(np.int64)
+                    for part, x in zip(parts, (*(np.full(len(at), b[c], np.int64) for c in names), keys, at - b["lo"])):
+                        part.append(x)
+            v, h, first, last, key, off = (pa.array(np.concatenate(p)) for p in parts)
+            yield pa.RecordBatch.from_arrays([v, key, h, off.cast(pa.int32()), first, last], ["v", "key", "h", "off", "first", "last"])
 
     return run
 
 
-def copy_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
-    """(id, rep, n): each document of at least span characters, the least id among its exact copies and its length. The 128-bit digest, not the text, is shuffled."""
-    keyed = docs.where(F.length(text) >= span).select(F.col(doc_id).alias("id"), F.md5(text).alias("copy"), F.length(text).cast("long").alias("n"))
-    return keyed.join(keyed.groupBy("copy").agg(F.min("id").alias("rep")), "copy").select("id", "rep", "n")
-
-
-def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, gram: int = 200, hot: int = 1000) -> DataFrame:
-    """(a, b, runs_a, runs_b): pairs a < b of different texts with a common run of at least span characters, and what each shares with the other.
+def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, gram: int = 200) -> Shared:
+    """Which runs of at least span characters documents share, from one row a block of paragraphs; linear in the text, however many documents share a run.
 
     Paragraph MinHash banding, tuned for a recall of one: every run of span
     characters is a paragraph, its set the runs of gram characters in it, with one
-    band of one row. Equal paragraphs then collide with certainty, and as
-    neighbouring paragraphs mostly have the same MinHash, about
-    2 / (span - gram + 2) rows a character remain. Larger grams give more rows but
-    fewer chance collisions: notices shorter than gram characters never collide.
-    Where more than hot documents share a MinHash (a notice longer than gram, in
-    thousands of texts), their whole paragraphs' hashes are joined instead, so that
-    only those meet that do share a paragraph. Colliding documents are compared
-    character by character; exact copies take part once, by their least id.
-
-    Null, empty and short texts (under span code points) share nothing.
-    Extra columns are ignored. doc_id must be a unique bigint; rows with a null id are left out.
+    band of one row. Equal paragraphs then have the same MinHash with certainty, and
+    as neighbouring paragraphs mostly have the same one, they form blocks, about
+    2 / (span - gram + 2) a character. Larger grams give more blocks but fewer
+    chance collisions: notices shorter than gram characters never collide.
+
+    Blocks whose MinHash meets in different documents are verified exactly (a
+    Jaccard similarity of one): equal blocks by the hash of their characters; where
+    different blocks have the same MinHash, one document of each gives the hashes of
+    its paragraphs, and those are compared. With the MinHash, which is a hash of 200
+    of the paragraph's characters, that is 128 bits: the expected number of wrong
+    pairs is below one in 10^9 even where 10^10 paragraphs share a MinHash.
+    Frequencies are summed before they are shuffled, so a notice in a third of all
+    documents meets in no single task.
+
+    Null, empty and short texts (under span code points) share nothing, nor does a
+    text with itself. Extra columns are ignored. doc_id must be a unique bigint; rows with a null id are left out.
+    """
+    long = docs.where((F.length(text) >= span) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    listed = materialize(long.mapInArrow(_block_rows(span, gram), "id bigint, blocks array<struct<v:bigint,h:bigint,lo:int,hi:int>>"))
+    rows = listed.select("id", F.explode("blocks").alias("b")).select("b.v", "b.h", "id", "b.lo", "b.hi")
+    met = materialize(rows.groupBy("v").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("v"))
+    hits = materialize(rows.join(met, "v", "left_semi"))
+    blocks = materialize(hits.groupBy("v", "h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min(F.struct("id", "lo", "hi")).alias("at")))
+    several = blocks.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    compared = blocks.join(several, "v", "left_semi")
+    asked = materialize(compared.groupBy("at.id").agg(F.collect_list(F.struct("v", "h", "at.lo", "at.hi", "first", "last")).alias("blocks")))
+    windows = materialize(long.join(asked, "id").select("text", "blocks").mapInArrow(_window_rows(span), "v bigint, key bigint, h bigint, off int, first bigint, last bigint"))
+    common = windows.groupBy("v", "key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("first < last and h0 <> h1").select("v", "key", "first")
+    return Shared(hits, blocks.select("v", "h", "first", "last"), materialize(windows.drop("first", "last").join(common, ["v", "key"])), span)
+
+
+def _sets(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """One of the keys for each distinct set of members: keys with the same number of members and the same two combined hashes have the same set."""
+    prints = (F.count("*").alias("n"), F.bit_xor(F.xxhash64(member)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), member)).alias("y"))
+    return rows.groupBy(*keys).agg(*prints).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct(*keys)).alias("k")).select(*(F.col(f"k.{k}").alias(k) for k in keys))
+
+
+def shared_pairs(spans: Shared) -> DataFrame:
+    """(a, b), a < b: all pairs of documents with a common run, copies included.
+
+    The paragraphs of one notice all stand in the same documents. So of the
+    paragraphs with the same set of blocks, and then of those with the same set of
+    documents, one is kept: a set of documents is expanded to its pairs once, which
+    are rows of the result.
     """
-    long = docs.where((F.length(text) >= span) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.md5(text).alias("copy"), F.col(text).alias("text"))
-    sketched = long.mapInArrow(_minhash_rows(span, gram), "id bigint, copy string, minhashes array<bigint>")
-    least = long.groupBy("copy").agg(F.min("id").alias("id"))
-    prints = sketched.join(least, ["copy", "id"], "left_semi").select("id", F.explode("minhashes").alias("k"))
-    # one shuffle by MinHash; what collides is a small part, and is written
-    met = materialize(prints.withColumn("n", F.count("*").over(W.partitionBy("k"))).where("n > 1"))
-    pairs = bucket_pairs(met.where(F.col("n") <= hot), "k", "id").select("a", "b")
-    crowded = met.where(F.col("n") > hot)
-    if crowded.limit(1).count():
-        keys = materialize(crowded.groupBy("id").agg(F.collect_set("k").alias("hot")))
-        exact = long.select("id", "text").join(keys, "id").mapInArrow(_paragraph_rows(span, gram), "id bigint, k bigint")
-        pairs = pairs.unionAll(bucket_pairs(exact, "k", "id").select("a", "b")).distinct()
-    candidates = materialize(pairs)
-    both = with_both(candidates, docs, doc_id, F.col(text).alias("text"))
-    return both.select("a", "b", "left", "right").mapInArrow(_verify(span), "a bigint, b bigint, runs_a array<struct<start:bigint,end:bigint>>, runs_b array<struct<start:bigint,end:bigint>>")
-
-
-def shared_pairs(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
-    """(a, b), a < b: all pairs of documents with a common run, copies included."""
-    return expand(spans, copy_classes(docs, doc_id, text, span))
-
-
-def shared_characters(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
+    of_block = spans.hits.select("v", "h", "id").distinct()
+    own = of_block.join(spans.blocks.where("first < last"), ["v", "h"], "left_semi")
+    in_blocks = spans.windows.select("v", "key", "h").distinct()
+    kept = in_blocks.join(_sets(in_blocks, ["v", "key"], "h"), ["v", "key"], "left_semi")
+    across = kept.join(of_block, ["v", "h"]).select("v", F.col("key").alias("h"), "id").distinct()
+    rows = materialize(own.unionAll(across).distinct())
+    rows = rows.join(_sets(rows, ["v", "h"], "id"), ["v", "h"], "left_semi")
+    return bucket_pairs(rows.select(F.struct("v", "h").alias("k"), "id"), "k", "id").select("a", "b")
+
+
+def shared_intervals(spans: Shared) -> DataFrame:
+    """(id, start, end): runs of each document that another one has too; they may overlap."""
+    whole = spans.hits.join(spans.blocks.where("first < last"), ["v", "h"], "left_semi").select("id", F.col("lo").alias("start"), (F.col("hi") + spans.span).alias("end"))
+    part = spans.hits.join(spans.blocks.where("first = last"), ["v", "h"], "left_semi").join(spans.windows.select("v", "h", "off"), ["v", "h"])
+    return whole.unionAll(part.select("id", (F.col("lo") + F.col("off")).alias("start"), (F.col("lo") + F.col("off") + spans.span).alias("end")))
+
+
+def shared_characters(docs: DataFrame, spans: Shared, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, n_shared, n_runs): of each document, how many characters lie in runs of at least span characters that another document has too. Null texts have null n_chars and share nothing."""
-    found = spans.select(F.col("a").alias("id"), F.explode("runs_a").alias("r")).unionAll(spans.select("b", F.explode("runs_b")))
     order = W.partitionBy("id").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = found.select("id", "r.start", "r.end").distinct().withColumn("reach", before)
+    marked = shared_intervals(spans).withColumn("reach", before)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("reach", F.lit(0))))
-    covered = marked.groupBy("id").agg(F.sum(fresh).alias("covered"), F.count(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1)).alias("n_runs"))
-    classes = copy_classes(docs, doc_id, text, span)
-    copies = classes.groupBy("rep").agg(F.count("*").alias("copies"))
-    known = classes.join(copies, "rep").join(covered, F.col("rep") == covered["id"], "left").select(classes["id"].alias("__id"), F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("covered", F.lit(0))).alias("n_shared"), F.when(F.col("copies") > 1, F.lit(1)).otherwise(F.coalesce("n_runs", F.lit(0))).alias("n_runs"))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.length(text).cast("long").alias("n_chars")).join(known, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "n_chars", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"))
-
-
-def span_groups(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300) -> DataFrame:
-    """(doc_id, group_id, keep): one row for each document; group_id is the least id of the component that shared spans link it to (its own without any), keep is true for that document, and the rest of a component are candidates for removal."""
-    classes = copy_classes(docs, doc_id, text, span)
-    edges = spans.select("a", "b").unionAll(classes.where("id <> rep").select("rep", "id"))
-    found = components(edges, "a", "b")
+    covered = marked.groupBy("id").agg(F.sum(fresh).alias("n_shared"), F.count(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1)).alias("n_runs"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.length(text).cast("long").alias("n_chars"))
+    return own.join(covered, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_chars", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_shared", "n_runs")))
+
+
+def span_groups(docs: DataFrame, spans: Shared, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, group_id, keep): one row for each document; group_id is the least id of the component that shared spans link it to (its own without any), keep is true for that document, and the rest of a component are candidates for removal. A run's documents are linked to the least of them, not to each other."""
+    of_block = spans.hits.join(spans.blocks.where("first < last"), ["v", "h"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    of_window = spans.windows.select("v", "h", F.col("first").alias("least")).distinct().join(spans.blocks, ["v", "h"]).select(F.col("least").alias("a"), F.col("first").alias("b"))
+    found = components(of_block.unionAll(of_window).where("a < b").distinct(), "a", "b")
     group = F.coalesce("component", "doc_id")
     return docs.select(F.col(doc_id).alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", group.alias("group_id"), F.col("doc_id").eqNullSafe(group).alias("keep"))
