@@ -69,6 +69,28 @@ def test_p1_edges(rows):
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0 and neardup.near_duplicate_groups(df.limit(0)).count() == 0
 
 
+def test_p1_groups_of_templates_by_stars(rows):
+    """Many filled-in templates: candidates grow with the members, not with their pairs, and a chain of links stays one group."""
+    body, n = prose(5, 150), 400
+    chain = prose(6, 200).split()
+    data = [(i, f"name{i}", body, None) for i in range(n)]
+    data += [(1000 + i, None, " ".join(f"c{j}" if j < 12 * i else w for j, w in enumerate(chain)), None) for i in range(8)]
+    df = docs(rows, data)
+    reps = neardup.representatives(neardup.sketches(df))
+    banded = neardup.band_rows(reps)
+    shared = banded.join(banded.groupBy("k").count().where("count > 1"), "k", "left_semi")
+    assert neardup.star_pairs(shared).count() <= 2 * 32 * n
+    group = {d[0]: d[0] for d in data}
+    pairs = similar_pairs([d[:3] for d in data])
+    for _ in range(9):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {r.doc_id: r for r in neardup.near_duplicate_groups(df).collect()}
+    assert {i: r.group_id for i, r in got.items()} == group and got[5].group_size == n and (1000, 1007) not in pairs and group[1007] == 1000
+    of_one = rows([(i, 0) for i in range(n)], "id bigint, component bigint")
+    assert neardup.cross_pairs(shared.where(f"id < {n}"), of_one, rows(None, "a bigint, b bigint")).count() == 0
+
+
 def test_sketches_merge_and_estimate():
     import numpy as np
 
@@ -134,7 +156,7 @@ def test_p6_is_the_tokenizer(spark, documents, tokenizer):
 def test_p6_edges_and_round_trip(rows, tokenizer):
     texts = [None, "", " ", "<|endoftext|> as text", "  \n\n\t x  ", "中文" * 900, "é" * 400, "a" * 3000, "don't 123,456  z", "\U0001f600\U0001f468", "a letter\U0001df25newer than the JVM's tables", prose(4, 20_000)]
     df = docs(rows, [(i, None, t, None) for i, t in enumerate([*texts, *texts])])
-    got = {(r.doc_id, r.back): r.ids for r in encode.encode(df, block_docs=5).withColumn("back", encode.decode(F.col("ids"))).collect()}
+    got = {(r.doc_id, r.back): r.ids for r in encode.encode(df, block_chars=5000).withColumn("back", encode.decode(F.col("ids"))).collect()}
     assert got == {(i, t or ""): tokenizer.encode_ordinary(t or "") for i, t in enumerate([*texts, *texts])}
     assert encode.encode(df.limit(0)).count() == 0
 
@@ -256,7 +278,7 @@ def test_p4_edges(rows):
         (7, "test", None, None), (8, "train", "", ""), (9, "", None, " ".join(base)), (10, "train", None, " ".join(base[120:160])), (11, "val", None, prose(9, 8000) + " " + " ".join(base)), (12, "train", None, " ".join(base)), (13, "val", None, prose(77, 300)),
     ]
     df = rows([(*d, "x", "x", "x") for d in data], "rec_id bigint, split string, title string, text string, id string, n string, bookshelf_id string")
-    out = overlap.split_overlaps(df).collect()
+    out = overlap.split_overlaps(df).pairs().collect()
     got = {(min(r.e, r.t), max(r.e, r.t)) for r in out}
     assert got == overlapping(data) and {(1, 2), (1, 3), (1, 4), (1, 9), (2, 10), (1, 11)} <= got
     edits = {(r.e, r.t): r.edits for r in out}
@@ -264,7 +286,45 @@ def test_p4_edges(rows):
     report = {(r.split, r.bookshelf_id): r for r in overlap.overlap_report(df, overlap.split_overlaps(df)).collect()}
     assert report["val", "x"].n_records == 4 and report["val", "x"].n_overlapping == 3
     for empty in (df.limit(0), df.where("split = 'val'"), df.where("rec_id = 8")):
-        assert overlap.split_overlaps(empty).count() == 0
+        assert overlap.split_overlaps(empty).pairs().count() == 0
+
+
+def test_p4_without_a_common_segment_of_more_than_a_triple(rows):
+    """A train record of the evaluation's words in pieces that share all triples but no run of five words; and odd records, whose segments lie in one half of the hashes."""
+    base = [f"w{i}" for i in range(200)]
+    stuttered = [w for i in range(0, 198, 2) for w in base[i : i + 4]]
+    r = random.Random(3)
+    short = [(100 + i, "val", None, " ".join(f"s{i}x{j}" for j in range(22))) for i in range(150)]
+    longer = [(1000 + i, "train", None, " ".join(f"u{r.random()}" for _ in range(30)) + " " + t) for i, (_, _, _, t) in enumerate(short)]
+    mirrored = [(2000 + i, "train", None, " ".join(f"v{i}x{j}" for j in range(22))) for i in range(150)]
+    wide = [(3000 + i, "test", None, " ".join(f"u{r.random()}" for _ in range(30)) + " " + t) for i, (_, _, _, t) in enumerate(mirrored)]
+    data = [(1, "val", None, " ".join(base)), (2, "train", None, " ".join(stuttered)), *short, *longer, *mirrored, *wide]
+    df = rows(data, "rec_id bigint, split string, title string, text string")
+    got = {(min(r.e, r.t), max(r.e, r.t)) for r in overlap.split_overlaps(df).pairs().collect()}
+    assert got == overlapping(data) and (1, 2) in got and len(got) == 301
+    limit, overlap.FILTER_BITS = overlap.FILTER_BITS, 1
+    assert {(min(r.e, r.t), max(r.e, r.t)) for r in overlap.split_overlaps(df).pairs().collect()} == got
+    overlap.FILTER_BITS = limit
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10**6))
+def test_p4_is_brute_force_on_edited_records(spark, seed):
+    r = random.Random(seed)
+    pool = ["".join(r.choice("abcdef") for _ in range(3)) for _ in range(300)]
+    texts = [[r.choice(pool) for _ in range(r.randint(20, 120))] for _ in range(8)]
+    data = []
+    for i in range(60):
+        w = list(r.choice(texts))
+        for _ in range(r.randint(0, len(w) // 5)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 2)] = [r.choice(pool)] * r.randint(0, 2)
+        if r.random() < 0.3:
+            cut = r.randrange(len(w))
+            w = w[cut:] + w[:cut]
+        data.append((i, r.choice(["train", "val"]), None, " ".join(w)))
+    df = spark.createDataFrame(data, "rec_id bigint, split string, title string, text string")
+    assert {(min(x.e, x.t), max(x.e, x.t)) for x in overlap.split_overlaps(df).pairs().collect()} == overlapping(data)
 
 
 def test_edit_distance_is_the_full_table():
@@ -347,14 +407,47 @@ def test_p8_edges(rows):
     data = [(1, y + x + "1"), (2, "2" + x + z), (3, x[:299] + "#"), (4, None), (5, ""), (6, "-" * 5000), (7, "+" + "-" * 700), (8, z), (9, z), (10, "中" * 299), (11, x[1:] + "!"), (None, x), (12, "ab" * 200), (13, "ba" * 200)]
     df = docs(rows, [(i, None, t, None) for i, t in data])
     s = spans.shared_spans(df)
-    got = {tuple(r) for r in spans.shared_pairs(df, s).collect()}
+    got = {tuple(r) for r in spans.shared_pairs(s).collect()}
     assert got == sharing([(i, t) for i, t in data if i is not None])
-    assert {tuple(r) for r in spans.shared_pairs(df, spans.shared_spans(df, hot=1)).collect()} == got
     chars = {r.doc_id: (r.n_chars, r.n_shared, r.n_runs) for r in spans.shared_characters(df, s).where("doc_id is not null").collect()}
     assert chars[1] == (len(y) + 301, 300, 1) and chars[2] == (len(z) + 301, 300 + len(z), 1) and chars[4] == (None, 0, 0) and chars[9] == (len(z), len(z), 1) and chars[3] == (300, 0, 0)
     groups = {r.doc_id: r.group_id for r in spans.span_groups(df, s).collect()}
     assert groups[1] == groups[2] == groups[9] == 1 and groups[3] == 3 and len(groups) == len(data)
-    assert spans.shared_spans(df.limit(0)).count() == 0
+    none = spans.shared_spans(df.limit(0))
+    assert spans.shared_pairs(none).count() == 0 and spans.shared_characters(df.limit(0), none).count() == 0
+
+
+def test_p8_a_notice_in_every_document(rows, spark):
+    """A notice of 400 characters in all documents: the tables behind p8_shared and p8_groups have rows a document, not a pair."""
+    notice, n = prose(7, 200)[:400], 400
+    df = docs(rows, [(i, None, prose(1000 + i, 100) + notice + prose(9000 + i, 100), None) for i in range(n)])
+    s = spans.shared_spans(df)
+    assert s.hits.count() <= 10 * n and s.windows.count() <= 101 * n
+    assert all(400 <= r.n_shared < 420 and r.n_runs == 1 for r in spans.shared_characters(df, s).collect())  # a few letters around it agree by chance
+    assert {r.group_id for r in spans.span_groups(df, s).collect()} == {0}
+    assert spans.shared_pairs(s).count() == n * (n - 1) // 2
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(5, 60)), min_size=1, max_size=4), min_size=2, max_size=7))
+def test_p8_is_brute_force_on_pieces(spark, parts):
+    sources = [prose(60, 60), prose(61, 60), "ab" * 60, "-" * 90]
+    texts = ["".join(sources[k][at : at + n] for k, at, n in ps) for ps in parts]
+    df = docs(lambda d, s: spark.createDataFrame(d, s), [(i, None, t, None) for i, t in enumerate(texts)])
+    s = spans.shared_spans(df, span=20, gram=12)
+    pairs = sharing(list(enumerate(texts)), 20)
+    assert {tuple(r) for r in spans.shared_pairs(s).collect()} == pairs
+    covered = []
+    for i, t in enumerate(texts):
+        others = [x for j, x in enumerate(texts) if j != i]
+        at = {p for k in range(len(t) - 19) if any(t[k : k + 20] in x for x in others) for p in range(k, k + 20)}
+        covered.append(len(at))
+    assert [r.n_shared for r in spans.shared_characters(df, s).orderBy("doc_id").collect()] == covered
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert [r.group_id for r in spans.span_groups(df, s).orderBy("doc_id").collect()] == group
 
 
 def test_all_queries_run(spark):

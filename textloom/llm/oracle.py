@@ -26,16 +26,36 @@ def _triples(table: str, node: str) -> str:
  c AS (SELECT {node}, count(*) AS n FROM t GROUP BY 1)"""
 
 
+def _components(edges: str, nodes: str) -> str:
+    """CTE g (id, component) of the graph with edges e (a, b): labels spread until none changes."""
+    return f"""e2 AS (SELECT a, b FROM ({edges}) UNION SELECT b, a FROM ({edges})),
+ g0 AS (SELECT doc_id AS id, doc_id AS c FROM {nodes}),
+ r(id, c) AS (SELECT id, c FROM g0 UNION SELECT e2.b, r.c FROM r JOIN e2 ON e2.a = r.id),
+ g AS (SELECT id, min(c) AS component FROM r GROUP BY 1)"""
+
+
+_P1 = f"""{_triples("documents", "doc_id")}, m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ p1 AS MATERIALIZED (SELECT a, b, k = x.n AND k = y.n AS same FROM m JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 10 * k >= 7 * (x.n + y.n - k))"""
+_P4 = f"""{_triples("corpus_records", "rec_id")}, s AS (SELECT rec_id, bookshelf_id, CASE WHEN lower({_strip("split")}) = 'validation' THEN 'val' ELSE lower({_strip("split")}) END AS split FROM corpus_records WHERE split IS NOT NULL),
+ u AS (SELECT t.*, split = 'train' AS train FROM t JOIN s USING (rec_id)), m AS (SELECT a.rec_id AS b, b.rec_id AS a, count(*) AS k FROM u a JOIN u b ON a.t = b.t WHERE a.train AND NOT b.train GROUP BY 1, 2),
+ p4 AS MATERIALIZED (SELECT a, b, x.n AS na, y.n AS nb FROM m JOIN c x ON x.rec_id = a JOIN c y ON y.rec_id = b WHERE 10 * k >= 7 * least(x.n, y.n))"""
+_P8 = """gr AS (SELECT DISTINCT doc_id, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+ h AS (SELECT list(doc_id ORDER BY doc_id) AS ids FROM gr GROUP BY s HAVING count(*) > 1), d AS (SELECT DISTINCT ids FROM h), x AS (SELECT ids, unnest(ids) AS a FROM d),
+ p8 AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT a, unnest(ids) AS b FROM x) WHERE a < b)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": f"""WITH {_triples("documents", "doc_id")}, m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a AS doc_id_a, b AS doc_id_b FROM m JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 10 * k >= 7 * (x.n + y.n - k)""",
-        "p4_found": f"""WITH {_triples("corpus_records", "rec_id")}, s AS (SELECT rec_id, lower({_strip("split")}) = 'train' AS train FROM corpus_records WHERE split IS NOT NULL),
- u AS (SELECT t.*, train FROM t JOIN s USING (rec_id)), m AS (SELECT a.rec_id AS a, b.rec_id AS b, count(*) AS k FROM u a JOIN u b ON a.t = b.t WHERE a.train AND NOT b.train GROUP BY 1, 2)
-SELECT least(a, b) AS rec_id_a, greatest(a, b) AS rec_id_b FROM m JOIN c x ON x.rec_id = a JOIN c y ON y.rec_id = b WHERE 10 * k >= 7 * least(x.n, y.n)""",
-        "p8_found": """WITH g AS (SELECT DISTINCT doc_id, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
- h AS (SELECT list(doc_id ORDER BY doc_id) AS ids FROM g GROUP BY s HAVING count(*) > 1), d AS (SELECT DISTINCT ids FROM h), x AS (SELECT ids, unnest(ids) AS a FROM d)
-SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM (SELECT a, unnest(ids) AS b FROM x) WHERE a < b""",
+        "p1_found": f"WITH {_P1} SELECT a AS doc_id_a, b AS doc_id_b FROM p1",
+        "p1_groups": f"""WITH RECURSIVE {_P1}, {_components("SELECT a, b FROM p1", "documents")}, k AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p1 WHERE same UNION ALL SELECT b FROM p1 WHERE same) GROUP BY 1)
+SELECT g.id AS doc_id, component AS group_id, count(*) OVER (PARTITION BY component) AS group_size, coalesce(k.n, 0) AS n_copies FROM g LEFT JOIN k USING (id)""",
+        "p4_found": f"WITH {_P4} SELECT least(a, b) AS rec_id_a, greatest(a, b) AS rec_id_b FROM p4",
+        "p4_report": f"""WITH {_P4}, z AS (SELECT rec_id, ' ' || array_to_string(w, ' ') || ' ' AS w FROM w WHERE len(w) >= 20),
+ q AS (SELECT a, count(*) AS pairs, count(CASE WHEN CASE WHEN na <= nb THEN contains(y.w, x.w) ELSE contains(x.w, y.w) END THEN 1 END) AS same FROM p4 JOIN z x ON x.rec_id = a JOIN z y ON y.rec_id = b GROUP BY 1)
+SELECT split, bookshelf_id, count(*) AS n_records, count(pairs) AS n_overlapping, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS n_pairs, CAST(coalesce(sum(same), 0) AS BIGINT) AS n_same FROM s LEFT JOIN q ON q.a = s.rec_id WHERE split <> 'train' GROUP BY 1, 2""",
+        "p8_found": f"WITH {_P8} SELECT a AS doc_id_a, b AS doc_id_b FROM p8",
+        "p8_groups": f"WITH RECURSIVE {_P8}, {_components('SELECT a, b FROM p8', 'documents')} SELECT id AS doc_id, component AS group_id, id = component AS keep FROM g",
+        "p6_roundtrip": "SELECT lang, count(*) AS n_docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_different FROM documents GROUP BY 1",
         "p3_found": f"WITH {_LINES} SELECT doc_id, line_no FROM r",
         "p3_clean": f"""WITH {_LINES}, g AS (SELECT doc_id, list(line_no) AS gone FROM r GROUP BY 1),
  d AS (SELECT d.doc_id, text, gone, string_split(text, chr(10)) AS ls FROM documents d LEFT JOIN g USING (doc_id))

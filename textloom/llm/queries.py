@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import encode, lines, neardup, overlap, packing, pieces, spans, tokencount
-from textloom.session import materialize, table
+from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,13 +26,13 @@ def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return spans.shared_pairs(docs, spans.shared_spans(docs)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    pairs = spans.shared_pairs(spans.shared_spans(table(spark, folder, "documents")))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return spans.shared_characters(docs, materialize(spans.shared_spans(docs)))
+    return spans.shared_characters(docs, spans.shared_spans(docs))
 
 
 def p8_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,15 +78,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """By language: documents, tokens, and documents whose decoded ids are not the stored text (null counting as empty)."""
+    """By language: documents, their characters, and documents whose decoded ids are not the stored text (null counting as empty)."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    joined = docs.join(encode.encode(docs).withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"))
-    differs = (encode.decode(F.col("ids")) != F.col("text")).cast("long")
-    return joined.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("ids").cast("long")).alias("n_tokens"), F.sum(differs).alias("n_different"))
+    decoded = encode.encode(docs).select(F.col("doc_id").alias("id"), encode.decode(F.col("ids")).alias("decoded"))
+    joined = docs.join(decoded, F.col("doc_id") == F.col("id"))
+    differs = (F.col("decoded") != F.col("text")).cast("long")
+    return joined.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("decoded").cast("long")).alias("n_chars"), F.sum(differs).alias("n_different"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = overlap.split_overlaps(table(spark, folder, "corpus_records"))
+    found = overlap.split_overlaps(table(spark, folder, "corpus_records")).pairs()
     return found.select(F.least("e", "t").alias("rec_id_a"), F.greatest("e", "t").alias("rec_id_b")).distinct()
 
 
