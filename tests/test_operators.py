@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions import arrays
 from textloom.operators import catalogue, losses, metrics, offsets, order, retention, tokens, windows
-from textloom.operators.components import components
 from textloom.operators.prefix import ordinals, prefix_sums
 
 
@@ -103,14 +102,14 @@ def test_causal_targets(rows):
 
 
 def test_evaluation_is_a_mean_of_batch_means(rows):
-    df = rows([(0, 1.0), (0, 3.0), (1, 8.0), (2, 100.0)], "batch int, loss double")
+    df = rows([(400, 1.0), (400, 3.0), (3100, 8.0), (9000, 100.0)], "batch int, loss double")  # batches are capped by their place, not by their number
     r = metrics.evaluation(df, losses=("loss",), steps=2).first()
     assert (r.batches, r.loss) == (2, 5.0) and math.isclose(r.perplexity, math.exp(5))
 
 
 def test_accumulation(rows):
-    df = rows([("r", i, float(i)) for i in range(10)], "run string, step int, loss double")
-    assert sorted(tuple(x) for x in metrics.accumulated(df, ["run"], ["step"]).collect()) == [("r", 0, 0.75), ("r", 1, 1.75)]
+    df = rows([("r", i, float(i), 2.0 * i, 0.0) for i in range(10)], "run string, step int, loss double, ntp_loss double, kd_loss double")
+    assert sorted(tuple(x) for x in metrics.accumulated(df, ["run"], ["step"]).collect()) == [("r", 0, 0.75, 1.5, 0.0), ("r", 1, 1.75, 3.5, 0.0)]
     steps = metrics.global_steps(df, ["run"], ["step"], F.pmod(F.col("step") + 1, F.lit(4)) == 0).orderBy("step").collect()
     assert [r.global_step for r in steps] == [0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
 
@@ -150,23 +149,24 @@ def test_pages_stop_at_the_first_empty_one(rows):
     assert sorted((r[0], r[1]) for r in catalogue.pages_until_empty(df).collect()) == [("a", 0), ("b", 0)]
 
 
-def test_components_like_union_find(rows):
-    random.seed(5)
-    edges = [(random.randrange(400), random.randrange(400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7), (None, 3)]
-    parent = {}
+def test_metadata_has_sizes_and_paths(rows):
+    import json
+
+    from textloom.functions.text import json_line
+
+    data = [("5", "train", "a/t.jsonl", 2, "7", "T", None, "u", 'é"'), ("5", "train", "a/t.jsonl", 1, "8", None, "A", "v", "x\ny"), ("5", "test", "a/s.jsonl", 3, "9", "T", "A", "w", "z"), ("5", "train", "a/t.jsonl", 4, "1", "T", "A", "w", ""), ("6", None, "b", 5, "2", "T", "A", "w", "q")]
+    df = rows(data, "shelf string, split string, file string, o int, id string, title string, author string, url string, text string")
+    found = offsets.metadata(df, "shelf", "split", "file", "o")
+    docs = {r.shelf: json.loads(r.document) for r in offsets.metadata_documents(found, "shelf", "split").collect()}
+    lines = [r.j for r in df.where("shelf = '5' and split = 'train' and text <> ''").orderBy("o").select(json_line(F.col("text")).alias("j")).collect()]
+    train = docs["5"]["train"]
+    assert train["num_books"] == 2 and train["total_chars"] == len("".join(x + "\n" for x in lines).encode()) and train["file_path"] == "a/t.jsonl" and train["format"] == "jsonl"
+    assert [(b["id"], b["start_position"], b["end_position"], b["length"]) for b in train["books"]] == [("8", 0, len(lines[0]), 3), ("7", len(lines[0]) + 1, len(lines[0]) + 1 + len(lines[1]), 2)]
+    assert docs["5"]["test"]["books"][0]["title"] == "T" and docs["5"]["bookshelf_id"] == "5" and "train" not in docs["6"]
 
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
 
-    for a, b in edges:
-        if a is not None and a != b:
-            a, b = find(a), find(b)
-            parent[max(a, b)] = min(a, b)
-    got = {r.id: r.component for r in components(rows(edges, "a bigint, b bigint"), "a", "b").collect()}
-    assert got == {x: find(x) for x in parent}
-    assert components(rows(None, "a bigint, b bigint"), "a", "b").count() == 0
+def test_digits_grow_with_the_rows():
+    assert [order._digits(n) for n in (0, 10**9, 1 << 32, (1 << 32) + 1, 10**13)] == [3, 3, 3, 4, 6]
 
 
 def test_vocabulary_and_decode(rows):

@@ -11,61 +11,86 @@ from typing import Any
 class Config:
     """All settings with their defaults. None means no limit."""
 
+    model_name: str = ""
+    reduce_student: bool = True
+    reduction_factor: int = 2
     train_file: str = ""
     max_length: int = 512
     overlap: int = 380
     batch_size: int = 4
     accumulation: int = 4
     epochs: int = 100
-    learning_rate: float = 1e-5
+    learning_rate: float = 1e-4
     warmup_share: float = 0.1
+    clip_norm: float | None = 1.0
     kd_ratio: float = 1.0
     max_steps_per_epoch: int | None = None
     eval_every: int = 200
     eval_steps: int | None = 200
-    sample_every: int = 200
-    log_every: int = 1
+    sample_every: int = 500
+    log_every: int = 100
     save_every: int = 5
     keep_checkpoints: int = 1
     resume_from: str | None = None
     seed: int = 42
     output: str = "runs"
+    tracking: bool = False
+    track_every: int = 10
+    project: str = ""
+    run_name: str = ""
+    run_resume_id: str | None = None
 
 
-#: Where nested documents keep a setting: section and key, tried in order.
-PLACES = {
-    "train_file": [("data", "sources"), ("data", "train_file")],
-    "max_length": [("data", "max_length")],
-    "overlap": [("data", "stride"), ("data", "overlap")],
-    "batch_size": [("data", "batch_size"), ("training", "batch_size")],
-    "accumulation": [("training", "gradient_accumulation_steps"), ("training", "accumulation")],
-    "epochs": [("training", "epochs"), ("training", "num_epochs")],
-    "learning_rate": [("training", "learning_rate"), ("training", "lr")],
-    "kd_ratio": [("training", "kd_ratio"), ("model", "kd_ratio")],
-    "max_steps_per_epoch": [("training", "max_steps_per_epoch")],
-    "eval_every": [("training", "eval_every_n_steps"), ("training", "eval_steps")],
-    "eval_steps": [("training", "num_eval_steps")],
-    "save_every": [("checkpointing", "save_every_n_epochs")],
-    "keep_checkpoints": [("checkpointing", "keep_n_checkpoints")],
-    "resume_from": [("checkpointing", "resume_from")],
-    "sample_every": [("wandb", "log_samples_every_n_steps"), ("output", "sample_every")],
-    "seed": [("training", "seed")],
-    "output": [("output", "dir"), ("checkpointing", "checkpoint_dir")],
+#: Where nested documents keep a setting; numbers are positions in a list.
+PLACES: dict[str, tuple[str | int, ...]] = {
+    "model_name": ("model", "name"),
+    "reduce_student": ("model", "student", "reduce_size"),
+    "reduction_factor": ("model", "student", "size_reduction_factor"),
+    "train_file": ("data", "sources", 0, "path"),
+    "max_length": ("data", "max_length"),
+    "overlap": ("data", "stride"),
+    "batch_size": ("data", "batch_size"),
+    "learning_rate": ("training", "learning_rate"),
+    "epochs": ("training", "epochs"),
+    "max_steps_per_epoch": ("training", "max_steps_per_epoch"),
+    "accumulation": ("training", "gradient_accumulation_steps"),
+    "clip_norm": ("training", "clip_grad_norm"),
+    "kd_ratio": ("training", "kd_ratio"),
+    "seed": ("training", "seed"),
+    "log_every": ("training", "log_every_n_steps"),
+    "eval_every": ("training", "eval_every"),
+    "eval_steps": ("training", "eval_steps"),
+    "save_every": ("checkpointing", "save_every_n_epochs"),
+    "keep_checkpoints": ("checkpointing", "keep_n_checkpoints"),
+    "resume_from": ("checkpointing", "resume"),
+    "output": ("output", "dir"),
+    "tracking": ("wandb", "enabled"),
+    "project": ("wandb", "project"),
+    "run_name": ("wandb", "name"),
+    "run_resume_id": ("wandb", "resume_id"),
+    "track_every": ("wandb", "log_every_n_steps"),
+    "sample_every": ("wandb", "generate_every_n_steps"),
 }
 
+_ABSENT = object()
+
+
+def _at(document: Any, place: tuple[str | int, ...]) -> Any:
+    for key in place:
+        if isinstance(key, int):
+            if not isinstance(document, list) or len(document) <= key:
+                return _ABSENT
+        elif not isinstance(document, dict) or key not in document:
+            return _ABSENT
+        document = document[key]
+    return document
+
 
 def flatten(document: dict[str, Any], **overrides: Any) -> Config:
-    """A Config of a nested document; of a list of sources the first counts. Absent settings and nulls where a number is needed keep their defaults."""
-    found: dict[str, Any] = {}
-    fields = {f.name: f for f in dataclasses.fields(Config)}
-    for name, places in PLACES.items():
-        for section, key in places:
-            part = document.get(section)
-            if isinstance(part, dict) and key in part:
-                value = part[key][0] if isinstance(part[key], list) and part[key] else part[key]
-                if value is not None or "None" in str(fields[name].type):
-                    found[name] = value
-                break
+    """A Config of a nested document; of a list of sources the first counts. Absent settings, and nulls where a value is needed, keep their defaults; a null in an optional setting is None. Overrides win (a resume path given by hand, say); unknown ones are errors."""
+    optional = {f.name for f in dataclasses.fields(Config) if "None" in str(f.type)}
+    found = {name: _at(document, place) for name, place in PLACES.items()}
+    found = {n: v for n, v in found.items() if v is not _ABSENT and (v is not None or n in optional)}
     return Config(**found | overrides)
 
 
@@ -96,8 +121,14 @@ def _plain(text: str) -> dict[str, Any]:
             if not isinstance(box, list):
                 parent[key] = box = []
                 stack[-1] = (stack[-1][0], box, parent, key)
-            box.append(_scalar(body[2:]))
-            continue
+            body = body[2:].strip()
+            if ": " not in f"{body} " or body[:1] in "\"'":
+                box.append(_scalar(body))
+                continue
+            item: dict[str, Any] = {}
+            box.append(item)
+            stack.append((indent + 1, item, box, len(box) - 1))
+            indent, box = indent + 2, item
         name, _, value = body.partition(":")
         if value.strip():
             box[name] = _scalar(value)
@@ -113,6 +144,8 @@ def _scalar(text: str) -> Any:
         return t[1:-1]
     if t in ("null", "~", "None", ""):
         return None
+    if t == "[]":
+        return []
     if t.lower() in ("true", "false"):
         return t.lower() == "true"
     for kind in (int, float):

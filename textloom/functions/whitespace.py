@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 # The 29 code points at which text is split into words.
 WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WHITE_RUN = f"[{WHITE}]+"
-WHITE_INLINE = WHITE.replace(r"\x09-\x0D", r"\x09\x0B-\x0D")  # without the line feed
 
 
-def _but_single_blanks(white: str) -> str:
+def but_single_blanks(white: str) -> str:
     """Matches the runs of white space that are not just one blank: most blanks of a text do not match, so little is rewritten."""
     return f"(?:[{white.replace(chr(92) + 'x1C-' + chr(92) + 'x20', chr(92) + 'x1C-' + chr(92) + 'x1F')}]| (?=[{white}]))[{white}]*"
 
 
-_CHANGED, _CHANGED_INLINE = map(_but_single_blanks, (WHITE, WHITE_INLINE))
+_CHANGED = but_single_blanks(WHITE)
 
 
 def collapse(text: Column) -> Column:
@@ -24,11 +23,6 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _CHANGED, " "))
 
 
-def collapse_inline(text: Column) -> Column:
-    """Runs of white space become one blank, but line feeds stay and none is trimmed."""
-    return F.regexp_replace(text, _CHANGED_INLINE, " ")
-
-
 def collapse_blanks(text: Column) -> Column:
     """collapse for text whose only white space is blanks."""
     return F.trim(F.regexp_replace(text, "  +", " "))

@@ -9,6 +9,7 @@ from textloom.functions.text import is_present
 from textloom.functions.whitespace import strip
 from textloom.operators.prefix import prefix_sums
 
+# The author of books without one, and a page's number of books.
 UNKNOWN = "Unknown"
 PAGE_SIZE = 25
 
@@ -52,7 +53,7 @@ def first_text(*sources: Column) -> Column:
     return F.coalesce(*sources)
 
 
-def with_texts(catalogue: DataFrame, texts: DataFrame, book_id: str = "id", text_id: str = "id", text: str = "text") -> DataFrame:
-    """catalogue with content, the book's text; books whose text is missing or empty are dropped (Catalyst makes the join an inner one)."""
-    right = texts.select(F.col(text_id).alias("__id"), F.col(text).alias("content"))
-    return catalogue.join(right, F.col(book_id) == F.col("__id"), "left").where(is_present(F.col("content"))).drop("__id")
+def with_texts(catalogue: DataFrame, texts: DataFrame, book_id: str = "id", text_id: str = "id", text: str = "text", value: Column | None = None) -> DataFrame:
+    """catalogue with content, the book's text or a value of it; books whose text is missing or empty are dropped. A value (a length, a digest) is computed where the texts lie, and the texts are then not shuffled."""
+    right = texts.where(is_present(F.col(text))).select(F.col(text_id).alias("__id"), (F.col(text) if value is None else value).alias("content"))
+    return catalogue.join(right, F.col(book_id) == F.col("__id")).drop("__id")

@@ -22,18 +22,19 @@ def finite(value: Column, most: float = 1e6) -> Column:
 
 
 def evaluation(df: DataFrame, *by: str, batch: str = "batch", losses: tuple[str, ...] = ("loss", "ntp_loss", "kd_loss"), steps: int | None = None) -> DataFrame:
-    """(by, batches, one mean a loss, perplexity): the mean over batches of each batch's mean, whatever its size, and exp of the first loss's mean. steps takes the batches numbered below it. Without rows there is no row."""
-    rows = df if steps is None else df.where(F.col(batch) < steps)
-    each = rows.groupBy(*by, batch).agg(*(F.avg(c).alias(c) for c in losses))
+    """(by, batches, one mean a loss, perplexity): the mean over batches of each batch's mean, whatever its size, and exp of the first loss's mean. steps takes the first so many batches in the order of batch, whatever their numbers. Without rows there is no row."""
+    each = df.groupBy(*by, batch).agg(*(F.avg(c).alias(c) for c in losses))
+    if steps is not None:
+        each = ordinals(each, list(by), [batch], "__i").where(F.col("__i") < steps)
     out = each.groupBy(*by).agg(F.count("*").alias("batches"), *(F.avg(c).alias(c) for c in losses))
     return out.withColumn("perplexity", F.exp(losses[0]))
 
 
-def accumulated(df: DataFrame, run: list[str], order: list[str], loss: str = "loss", every: int = 4) -> DataFrame:
-    """(run, optimizer_step, loss): of each full group of every micro-batches the last one's loss divided by every. A rest that fills no group is not reported."""
-    at = ordinals(df.select(*run, *order, loss), run, order, "__i")
+def accumulated(df: DataFrame, run: list[str], order: list[str], losses: tuple[str, ...] = ("loss", "ntp_loss", "kd_loss"), every: int = 4) -> DataFrame:
+    """(run, optimizer_step, losses): of each full group of every micro-batches the last one's losses divided by every. A rest that fills no group is not reported."""
+    at = ordinals(df.select(*run, *order, *losses), run, order, "__i")
     last = at.where(F.pmod("__i", F.lit(every)) == every - 1)
-    return last.select(*run, F.floor(F.col("__i") / every).cast("bigint").alias("optimizer_step"), (F.col(loss) / every).alias("loss"))
+    return last.select(*run, F.floor(F.col("__i") / every).cast("bigint").alias("optimizer_step"), *((F.col(c) / every).alias(c) for c in losses))
 
 
 def global_steps(df: DataFrame, run: list[str], order: list[str], done: Column, name: str = "global_step") -> DataFrame:

@@ -19,26 +19,35 @@ def _in_turn(df: DataFrame, ids: list[str], seed: int) -> DataFrame:
     return materialize(df.withColumn("__turn", turn(seed, *ids)))
 
 
-def _positions(keyed: DataFrame, ids: list[str], name: str) -> DataFrame:
-    """The rows' places in the order of their keys. Keys are uniform, so their first three digits make 4,096 even buckets: bucket sizes are summed up in one small table and rows are numbered within their buckets, all buckets at once."""
-    bucket = F.left("__turn", F.lit(3))
+def _digits(n: int, rows: int = 1 << 20) -> int:
+    """How many hexadecimal digits make buckets of about rows rows at most: three for up to 4 billion rows, and more as there are more."""
+    digits = 3
+    while n > rows << 4 * digits:
+        digits += 1
+    return digits
+
+
+def _positions(keyed: DataFrame, ids: list[str], name: str, n: int) -> DataFrame:
+    """The rows' places in the order of their keys. Keys are uniform, so their first digits make even buckets: bucket sizes are summed up in one small table and rows are numbered within their buckets, all buckets at once."""
+    bucket = F.left("__turn", F.lit(_digits(n)))
     sizes = keyed.groupBy(bucket.alias("__b")).agg(F.count("*").alias("__n"))
     starts = sizes.select("__b", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     rank = F.row_number().over(W.partitionBy("__b").orderBy("__turn", *ids))
-    placed = keyed.withColumn("__b", bucket).join(F.broadcast(starts), "__b")  # at most 4,096 rows
+    placed = keyed.withColumn("__b", bucket).join(F.broadcast(starts), "__b")  # at most 4,096 rows, or one for each 65,536 of the table
     return placed.withColumn(name, (F.col("__start") + rank - 1).cast("bigint")).drop("__turn", "__b", "__start")
 
 
 def permuted(df: DataFrame, ids: list[str], seed: int, name: str = "pos") -> DataFrame:
     """df with each row's position, from 0, in the seed's permutation. ids must be unique together."""
-    return _positions(_in_turn(df, ids, seed), ids, name)
+    keyed = _in_turn(df, ids, seed)
+    return _positions(keyed, ids, name, keyed.count())
 
 
 def split_share(df: DataFrame, ids: list[str], seed: int, share: float = 0.9, name: str = "split") -> DataFrame:
     """df with split 'train' for exactly floor(share * n) rows of the permutation, else 'val'. The complement needs no join."""
     keyed = _in_turn(df, ids, seed)
     n = keyed.count()
-    return _positions(keyed, ids, "__pos").withColumn(name, F.when(F.col("__pos") < int(share * n), "train").otherwise("val")).drop("__pos")
+    return _positions(keyed, ids, "__pos", n).withColumn(name, F.when(F.col("__pos") < int(share * n), "train").otherwise("val")).drop("__pos")
 
 
 def split_documents(df: DataFrame, doc: str, seed: int, share: float = 0.9, name: str = "split") -> DataFrame:

@@ -38,12 +38,13 @@ def padded(tokens: Column, max_length: int, pad, first=None) -> tuple[Column, Co
 def prompt_split(df: DataFrame, ids: str, mask: str, batch: str, order: str, samples: int = 2, pad: int | None = None, prompt_length: int | None = None) -> DataFrame:
     """The first samples rows of each batch with prompt and ground_truth: cut after half the real tokens of the batch's first row, padding removed from the latter. With prompt_length the cut comes after so many tokens instead, or at the row's end.
 
-    Few rows a batch are kept by a grouped minimum, not by ranking all rows.
+    Only order keys and lengths are grouped; the arrays of the rows that they name
+    are joined back. order must be unique within a batch, whose size is fixed.
     """
-    pick = df.groupBy(batch).agg(F.slice(F.array_sort(F.collect_list(F.struct(order, ids, mask))), 1, samples).alias("__rows"))
-    half = F.floor(F.aggregate(F.element_at("__rows", 1)[mask], F.lit(0).cast("bigint"), lambda s, x: s + x) / 2).cast("int")
-    if prompt_length is not None:
-        half = F.least(F.lit(prompt_length), F.size(F.element_at("__rows", 1)[ids]))
-    rows = pick.withColumn("half", half).select(batch, "half", F.explode("__rows").alias("r"))
-    truth = F.slice(F.col("r")[ids], F.col("half") + 1, F.greatest(F.size(F.col("r")[ids]) - F.col("half"), F.lit(0)))
-    return rows.select(batch, F.col("r")[order].alias(order), F.slice(F.col("r")[ids], 1, F.col("half")).alias("prompt"), (truth if pad is None else F.array_remove(truth, pad)).alias("ground_truth"))
+    size = F.size(ids) if prompt_length is not None else F.aggregate(mask, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    keys = df.select(batch, order, size.cast("bigint").alias("__size")).groupBy(batch).agg(F.slice(F.array_sort(F.collect_list(order)), 1, samples).alias("__first"), F.min(F.struct(order, "__size")).alias("__head"))
+    half = F.floor(F.col("__head.__size") / 2) if prompt_length is None else F.least(F.lit(prompt_length), F.col("__head.__size"))
+    asked = keys.select(F.col(batch).alias("__batch"), half.cast("int").alias("half"), F.explode("__first").alias("__order"))
+    rows = df.join(asked, F.col(batch).eqNullSafe(F.col("__batch")) & (F.col(order) == F.col("__order")))
+    truth = F.slice(ids, F.col("half") + 1, F.greatest(F.size(ids) - F.col("half"), F.lit(0)))
+    return rows.select(batch, order, F.slice(ids, 1, F.col("half")).alias("prompt"), (truth if pad is None else F.array_remove(truth, pad)).alias("ground_truth"))

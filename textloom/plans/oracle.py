@@ -25,7 +25,7 @@ _WINDOWS = f"""{_TOKENS},
 _LATEST = """m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, step, split ORDER BY ingested_at DESC NULLS LAST, epoch DESC NULLS LAST, loss DESC NULLS LAST,
   ntp_loss DESC NULLS LAST, kd_loss DESC NULLS LAST, perplexity DESC NULLS LAST, learning_rate DESC NULLS LAST, logged_at DESC NULLS LAST) AS rn FROM metrics) WHERE rn = 1)"""
 _CHECKPOINTS = "c AS (SELECT run_id, file_name, epoch, max(val_loss) AS val_loss FROM checkpoints GROUP BY ALL)"
-_TRAIN = f"""{_LATEST}, f AS (SELECT run_id, epoch, step, CASE WHEN NOT isnan(loss) AND abs(loss) <= 1e6 THEN loss END AS loss FROM m WHERE split = 'train')"""
+_TRAIN = f"""{_LATEST}, f AS (SELECT run_id, epoch, step, {", ".join(f"CASE WHEN NOT isnan({c}) AND abs({c}) <= 1e6 THEN {c} END AS {c}" for c in ("loss", "ntp_loss", "kd_loss"))} FROM m WHERE split = 'train')"""
 
 
 def _finite(c: str) -> str:
@@ -91,16 +91,20 @@ FROM catalogue WHERE title IS NOT NULL AND id IS NOT NULL GROUP BY ALL""",
         "page_scan": """WITH l AS (SELECT bookshelf_id, page_index, count(*) AS n FROM catalogue GROUP BY ALL), t AS (SELECT bookshelf_id, max(page_index) AS top FROM l GROUP BY 1),
  p AS (SELECT bookshelf_id, unnest(range(0, top + 2)) AS page_index FROM t), c AS (SELECT p.bookshelf_id, p.page_index, coalesce(n, 0) AS n_items FROM p LEFT JOIN l USING (bookshelf_id, page_index)),
  s AS (SELECT bookshelf_id, min(page_index) AS stop FROM c WHERE n_items = 0 GROUP BY 1)
-SELECT bookshelf_id, page_index, n_items, 'https://books.shelf.example/ebooks/bookshelf/' || bookshelf_id || CASE WHEN page_index > 0 THEN '?start_index=' || (page_index * 25 + 1) ELSE '' END AS url
+SELECT bookshelf_id, CAST(page_index AS BIGINT) AS page_index, n_items, 'https://books.shelf.example/ebooks/bookshelf/' || bookshelf_id || CASE WHEN page_index > 0 THEN '?start_index=' || (page_index * 25 + 1) ELSE '' END AS url
 FROM c JOIN s USING (bookshelf_id) WHERE page_index < stop""",
         "book_links": "SELECT string_split(url, '/')[-1] AS linked_id, coalesce(author, 'Unknown') AS author, count(*) AS n FROM catalogue GROUP BY ALL",
         "catalog_text_join": """WITH c AS (SELECT DISTINCT bookshelf_id, id FROM catalogue WHERE title IS NOT NULL)
 SELECT c.bookshelf_id, c.id, count(*) AS n_texts, CAST(sum(length(d.text)) AS BIGINT) AS n_chars FROM c JOIN documents d ON c.id = d.book_id WHERE d.text <> '' GROUP BY ALL""",
-        "text_fallback": """WITH d AS (SELECT book_id, min(text) AS other FROM documents WHERE book_id IS NOT NULL AND text <> '' GROUP BY 1)
+        "text_fallback": """WITH d AS (SELECT book_id, arg_min(text, doc_id) AS other FROM documents WHERE book_id IS NOT NULL AND text <> '' GROUP BY 1)
 SELECT rec_id, length(coalesce(text, other)) AS n_chars FROM corpus_records LEFT JOIN d ON id = book_id""",
         "json_offsets": f"""WITH l AS (SELECT rec_id, file_path, text, {_JSON} AS n FROM corpus_records),
  s AS (SELECT *, CAST(coalesce(sum(n + 1) OVER (PARTITION BY file_path ORDER BY rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_position FROM l)
 SELECT rec_id, file_path, start_position, CAST(start_position + n AS BIGINT) AS end_position, length(coalesce(text, '')) AS text_length FROM s""",
+        "shelf_metadata": f"""WITH l AS (SELECT *, lower(trim(split)) AS sp, {_JSON} AS n FROM corpus_records),
+ s AS (SELECT *, CAST(coalesce(sum(n + 1) OVER (PARTITION BY file_path ORDER BY rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st FROM l)
+SELECT bookshelf_id, sp AS split, file_path, count(*) AS num_books, CAST(sum(strlen(CAST(to_json({{'text': text}}) AS VARCHAR)) + 2) AS BIGINT) AS total_chars,
+ md5(string_agg(concat_ws(',', id, st, CAST(st + n AS BIGINT), length(text)), ';' ORDER BY rec_id)) AS books_digest FROM s WHERE text <> '' GROUP BY 1, 2, 3""",
         "corpus_metadata": """SELECT bookshelf_id, lower(trim(split)) AS split, count(*) AS num_books, CAST(sum(strlen(CAST(to_json({'text': text}) AS VARCHAR)) + 2) AS BIGINT) AS total_chars, CAST(sum(length(text)) AS BIGINT) AS text_chars
 FROM corpus_records WHERE text <> '' GROUP BY ALL""",
         "file_parts": "SELECT regexp_replace(file_path, '/[^/]*$', '') AS folder, string_split(file_path, '/')[-1] AS file, count(*) AS n FROM corpus_records GROUP BY ALL",
@@ -111,15 +115,16 @@ FROM corpus_records WHERE text <> '' GROUP BY ALL""",
         "softmax_mass": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings), l AS (SELECT vec_id, z, {_lse("z")} AS l FROM e),
  p AS (SELECT vec_id, list_transform(z, lambda v: exp(v - l)) AS p FROM l) SELECT vec_id, round(list_max(p), 6) AS most, round(list_sum(p), 6) AS mass FROM p""",
         "latest_metrics": f"WITH {_LATEST} SELECT run_id, split, count(*) AS n_steps, max(step) AS last_step, strftime(max(ingested_at AT TIME ZONE 'UTC'), '%Y-%m-%d %H:%M:%S.%f') AS last_ingested FROM m GROUP BY ALL",
-        "eval_metrics": f"""WITH {_LATEST}, f AS (SELECT run_id, step, {_finite("loss")}, {_finite("ntp_loss")}, {_finite("kd_loss")} FROM m WHERE split = 'val')
-SELECT run_id, count(*) AS batches, round(avg(loss), 9) AS loss, round(avg(ntp_loss), 9) AS ntp_loss, round(avg(kd_loss), 9) AS kd_loss, round(exp(avg(loss)), 9) AS perplexity FROM f GROUP BY 1""",
-        "capped_eval": f"""WITH {_LATEST}, f AS (SELECT run_id, step, {_finite("loss")} FROM m WHERE split = 'val' AND step < 2000)
+        "eval_metrics": f"""WITH {_LATEST}, f AS (SELECT run_id, step, {_finite("loss")}, {_finite("ntp_loss")}, {_finite("kd_loss")} FROM m WHERE split = 'val'),
+ b AS (SELECT run_id, avg(loss) AS loss, avg(ntp_loss) AS ntp_loss, avg(kd_loss) AS kd_loss FROM f GROUP BY run_id, step // 500)
+SELECT run_id, count(*) AS batches, round(avg(loss), 9) AS loss, round(avg(ntp_loss), 9) AS ntp_loss, round(avg(kd_loss), 9) AS kd_loss, round(exp(avg(loss)), 9) AS perplexity FROM b GROUP BY 1""",
+        "capped_eval": f"""WITH {_LATEST}, f AS (SELECT run_id, {_finite("loss")} FROM m WHERE split = 'val' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step) <= 12)
 SELECT run_id, count(*) AS batches, round(avg(loss), 9) AS loss, round(exp(avg(loss)), 9) AS perplexity FROM f GROUP BY 1""",
-        "grad_accum": f"""WITH {_TRAIN}, i AS (SELECT run_id, loss, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS i FROM f)
-SELECT run_id, i // 4 AS optimizer_step, round(loss / 4, 9) AS loss FROM i WHERE i % 4 = 3""",
-        "epoch_means": f"""WITH {_TRAIN}, i AS (SELECT run_id, epoch, loss, row_number() OVER (PARTITION BY run_id, epoch ORDER BY step) - 1 AS i FROM f)
-SELECT run_id, epoch, count(*) AS n_steps, round(avg(loss / 4), 9) AS mean_loss FROM i WHERE i % 4 = 3 GROUP BY 1, 2""",
-        "global_steps": f"WITH {_LATEST} SELECT run_id, step, CAST(sum(CASE WHEN step % 40 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY step) AS BIGINT) AS global_step FROM m WHERE split = 'train'",
+        "grad_accum": f"""WITH {_TRAIN}, i AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) - 1 AS i FROM f)
+SELECT run_id, i // 4 AS optimizer_step, round(loss / 4, 9) AS loss, round(ntp_loss / 4, 9) AS ntp_loss, round(kd_loss / 4, 9) AS kd_loss FROM i WHERE i % 4 = 3""",
+        "epoch_means": f"""WITH {_TRAIN}, i AS (SELECT *, row_number() OVER (PARTITION BY run_id, epoch ORDER BY step) - 1 AS i FROM f)
+SELECT run_id, epoch, count(*) AS n_steps, round(avg(loss / 4), 9) AS mean_loss, round(avg(ntp_loss / 4), 9) AS mean_ntp_loss, round(avg(kd_loss / 4), 9) AS mean_kd_loss FROM i WHERE i % 4 = 3 GROUP BY 1, 2""",
+        "global_steps": f"WITH {_LATEST} SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) // 4 AS global_step FROM m WHERE split = 'train'",
         "best_so_far": f"""WITH {_CHECKPOINTS}, b AS (SELECT *, min(CASE WHEN NOT isnan(val_loss) THEN val_loss END) OVER (PARTITION BY run_id ORDER BY epoch, file_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM c)
 SELECT run_id, epoch, file_name, best_before, coalesce(NOT isnan(val_loss) AND (best_before IS NULL OR val_loss < best_before), false) AS improved FROM b""",
         "best_value": f"""WITH {_CHECKPOINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY val_loss, epoch) AS rn FROM c WHERE val_loss IS NOT NULL AND NOT isnan(val_loss))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import arrays, html, text
 from textloom.operators import catalogue, losses, metrics, offsets, order, retention, tokens, windows
-from textloom.session import table
+from textloom.operators.prefix import ordinals
+from textloom.session import shared_folder, table
+from textloom.sinks import writers
+from textloom.sources import pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,17 +109,14 @@ def shard_wraparound(spark: SparkSession, folder: str) -> DataFrame:
 
 def validation_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation keeps the table's order and wraps around too."""
-    from textloom.operators.prefix import ordinals
-
     rows = ordinals(table(spark, folder, "examples").select("example_id"), [], ["example_id"], "pos")
     return order.shards(rows, world=7, batch=4).groupBy("rank").agg(F.count("*").alias("n_rows"), F.max("batch").alias("last_batch"), F.sum("example_id").alias("id_sum"))
 
 
 def batches(spark: SparkSession, folder: str) -> DataFrame:
-    from textloom.operators.prefix import ordinals
-
-    rows = ordinals(table(spark, folder, "examples").select("example_id", "input_ids", "attention_mask"), [], ["example_id"], "pos")
-    stacked = order.collate(order.shards(rows, world=2, batch=4), "example_id", "input_ids", "attention_mask")
+    examples = table(spark, folder, "examples").select("example_id", "input_ids", "attention_mask")
+    placed = order.shards(ordinals(examples.select("example_id"), [], ["example_id"], "pos"), world=2, batch=4)  # ids only are put in order
+    stacked = order.collate(placed.join(examples, "example_id"), "example_id", "input_ids", "attention_mask")
     total = lambda c: F.aggregate(F.flatten(c), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return stacked.select("rank", "batch", _long(F.size("input_ids")).alias("size"), F.array_join("example_id", ",").alias("example_ids"), total("input_ids").alias("id_sum"), total("attention_mask").alias("n_real"))
 
@@ -151,12 +152,15 @@ def html_titles_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The pages of each shelf that a scan reads, with their addresses and numbers of books."""
-    listed = table(spark, folder, "catalogue").groupBy("bookshelf_id", "page_index").agg(F.count("*").alias("n"))
+    """The pages of each shelf that a scan reads, with their addresses and numbers of books. The pages are written and read again by their source."""
+    saved = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    writers.write_pages(catalogue_pages(table(spark, folder, "catalogue").where(F.col("bookshelf_id").isNotNull() & F.col("page_index").isNotNull())), saved)
+    items = F.size(F.split("html", '<li class="booklink">', -1)) - 1
+    listed = pages.read_pages(spark, saved).select("bookshelf_id", "page_index", items.alias("n"))
     last = listed.groupBy("bookshelf_id").agg(F.max("page_index").alias("top"))
-    pages = last.select("bookshelf_id", F.explode(F.sequence(F.lit(0), F.col("top") + 1)).alias("page_index")).join(listed, ["bookshelf_id", "page_index"], "left").withColumn("n_items", F.coalesce("n", F.lit(0)))
-    read = catalogue.pages_until_empty(pages)
-    return read.select("bookshelf_id", _long("page_index").alias("page_index"), "n_items", catalogue.page_url(BASE, F.col("bookshelf_id"), F.col("page_index")).alias("url"))
+    asked = last.select("bookshelf_id", F.explode(F.sequence(F.lit(0), F.col("top") + 1)).alias("page_index")).join(listed, ["bookshelf_id", "page_index"], "left").withColumn("n_items", F.coalesce("n", F.lit(0)))
+    read = catalogue.pages_until_empty(asked)
+    return read.select("bookshelf_id", "page_index", _long("n_items").alias("n_items"), catalogue.page_url(BASE, F.col("bookshelf_id"), F.col("page_index")).alias("url"))
 
 
 def book_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,20 +170,28 @@ def book_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog_text_join(spark: SparkSession, folder: str) -> DataFrame:
     listed = table(spark, folder, "catalogue").where(F.col("title").isNotNull()).select("bookshelf_id", "id").distinct()
-    found = catalogue.with_texts(listed, table(spark, folder, "documents"), "id", "book_id")
-    return found.groupBy("bookshelf_id", "id").agg(F.count("*").alias("n_texts"), F.sum(_long(F.length("content"))).alias("n_chars"))
+    found = catalogue.with_texts(listed, table(spark, folder, "documents"), "id", "book_id", value=_long(F.length("text")))
+    return found.groupBy("bookshelf_id", "id").agg(F.count("*").alias("n_texts"), F.sum("content").alias("n_chars"))
 
 
 def text_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """The first text there is: of the corpus record, else of a document of the same book."""
-    docs = table(spark, folder, "documents").where(F.col("book_id").isNotNull() & text.is_present(F.col("text"))).groupBy("book_id").agg(F.min("text").alias("other"))
-    records = table(spark, folder, "corpus_records").select("rec_id", "id", "text")
-    return records.join(docs, F.col("id") == F.col("book_id"), "left").select("rec_id", _long(F.length(catalogue.first_text(F.col("text"), F.col("other")))).alias("n_chars"))
+    """The length of the first text there is: of the corpus record, else of the book's first document. Lengths travel, not texts."""
+    size = _long(F.length("text"))
+    docs = table(spark, folder, "documents").where(F.col("book_id").isNotNull() & text.is_present(F.col("text"))).groupBy("book_id").agg(F.min(F.struct("doc_id", size.alias("n"))).alias("first"))
+    records = table(spark, folder, "corpus_records").select("rec_id", "id", size.alias("own"))
+    return records.join(docs, F.col("id") == F.col("book_id"), "left").select("rec_id", catalogue.first_text(F.col("own"), F.col("first.n")).alias("n_chars"))
 
 
 def json_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "corpus_records").select("rec_id", "file_path", "text")
-    return offsets.record_offsets(records, "file_path", ["rec_id"]).select("rec_id", "file_path", "start_position", "end_position", "text_length")
+    return offsets.record_offsets(table(spark, folder, "corpus_records"), "file_path", ["rec_id"])
+
+
+def shelf_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The metadata document of each shelf and split, by what it says: its file, its number of books, their digest and the file's size."""
+    records = table(spark, folder, "corpus_records").withColumn("split", F.lower(F.trim("split")))
+    found = offsets.metadata(records, "bookshelf_id", "split", "file_path", "rec_id")
+    books = F.transform("books", lambda b: F.concat_ws(",", b["id"], b["start_position"].cast("string"), b["end_position"].cast("string"), b["length"].cast("string")))
+    return found.select("bookshelf_id", "split", "file_path", "num_books", "total_chars", F.md5(F.array_join(books, ";")).alias("books_digest"))
 
 
 def corpus_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,29 +245,37 @@ def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def eval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     names = ("loss", "ntp_loss", "kd_loss")
-    rows = _metrics(spark, folder).where("split = 'val'").withColumns({c: metrics.finite(F.col(c), 100.0) for c in names})
-    out = metrics.evaluation(rows, "run_id", batch="step")
+    rows = _metrics(spark, folder).where("split = 'val'").withColumns({c: metrics.finite(F.col(c), 100.0) for c in names}).withColumn("batch", F.floor(F.col("step") / 500))
+    out = metrics.evaluation(rows, "run_id")
     return out.select("run_id", "batches", *(F.round(c, 9).alias(c) for c in (*names, "perplexity")))
 
 
 def capped_eval(spark: SparkSession, folder: str) -> DataFrame:
+    """The first twelve batches of each run's evaluation, whatever the run's steps."""
     rows = _metrics(spark, folder).where("split = 'val'").withColumn("loss", metrics.finite(F.col("loss"), 100.0))
-    return metrics.evaluation(rows, "run_id", batch="step", losses=("loss",), steps=2000).select("run_id", "batches", F.round("loss", 9).alias("loss"), F.round("perplexity", 9).alias("perplexity"))
+    return metrics.evaluation(rows, "run_id", batch="step", losses=("loss",), steps=12).select("run_id", "batches", F.round("loss", 9).alias("loss"), F.round("perplexity", 9).alias("perplexity"))
+
+
+_LOSSES = ("loss", "ntp_loss", "kd_loss")
+
+
+def _training(spark: SparkSession, folder: str) -> DataFrame:
+    return _metrics(spark, folder).where("split = 'train'").withColumns({c: metrics.finite(F.col(c)) for c in _LOSSES})
 
 
 def grad_accum(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _metrics(spark, folder).where("split = 'train'").withColumn("loss", metrics.finite(F.col("loss")))
-    return metrics.accumulated(rows, ["run_id"], ["step"]).select("run_id", "optimizer_step", F.round("loss", 9).alias("loss"))
+    return metrics.accumulated(_training(spark, folder), ["run_id"], ["step"]).select("run_id", "optimizer_step", *(F.round(c, 9).alias(c) for c in _LOSSES))
 
 
 def epoch_means(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _metrics(spark, folder).where("split = 'train'").withColumn("loss", metrics.finite(F.col("loss")))
-    return metrics.accumulated(rows, ["run_id", "epoch"], ["step"]).groupBy("run_id", "epoch").agg(F.count("*").alias("n_steps"), F.round(F.avg("loss"), 9).alias("mean_loss"))
+    steps = metrics.accumulated(_training(spark, folder), ["run_id", "epoch"], ["step"])
+    return steps.groupBy("run_id", "epoch").agg(F.count("*").alias("n_steps"), *(F.round(F.avg(c), 9).alias(f"mean_{c}") for c in _LOSSES))
 
 
 def global_steps(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _metrics(spark, folder).where("split = 'train'").select("run_id", "step")
-    return metrics.global_steps(rows, ["run_id"], ["step"], metrics.due(F.col("step"), 40))
+    """Optimizer steps done after each micro-batch: one with every fourth of a run, the fourth included."""
+    rows = ordinals(_metrics(spark, folder).where("split = 'train'").select("run_id", "step"), ["run_id"], ["step"], "micro")
+    return metrics.global_steps(rows, ["run_id"], ["step"], metrics.due(F.col("micro") + 1, 4)).drop("micro")
 
 
 def _checkpoints(spark: SparkSession, folder: str) -> DataFrame:

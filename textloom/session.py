@@ -74,11 +74,19 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, least: int = 1 << 20, most: int = 1 << 28) -> DataFrame:
-    """df over all cores if it comes from so few files that most would idle, and is small: a file of one row group is one task, whatever work follows. Tables over most bytes, or of files enough, are left as they are and never shuffled for this."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if the reader makes so few splits of it that most would idle: a file of one row group is one task, whatever work follows.
+
+    What counts is the reader's own split size: a table of more bytes than half the
+    cores could have splits of, or of as many files, is read as it is, at any size.
+    So is one below the reader's cost of opening a file, which is one task's work.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if least <= size <= most and 2 * len(df.inputFiles()) <= cores else df
+    settings = spark._jsparkSession.sessionState().conf()
+    splits = max(len(df.inputFiles()), size // settings.filesMaxPartitionBytes())
+    return df.repartition(cores) if size > settings.filesOpenCostInBytes() and 2 * splits <= cores else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -23,20 +23,16 @@ def write_jsonl(df: DataFrame, path: str, text: str = "text", order: list[str] |
     rows.select(json_line(F.col(text)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_metadata(document: dict, path: str) -> None:
-    """A pretty-printed document; a whole one is put in place of an old one."""
-    with open(f"{path}.part", "w", encoding="utf-8") as f:
-        json.dump(document, f, indent=2, ensure_ascii=False)
-    os.replace(f"{path}.part", path)
-
-
-def metadata_document(bookshelf_id: str, **splits: DataFrame) -> dict:
-    """The metadata of a corpus: of each split its books with positions, their number and the total. Made on the driver, as one document is what is asked for."""
-    out: dict = {"bookshelf_id": bookshelf_id}
-    for name, books in splits.items():
-        rows = [r.asDict() for r in books.collect()]
-        out[name] = {"num_books": len(rows), "books": rows, "format": "jsonl"}
-    return out
+def write_metadata(documents: DataFrame, path: str, shelf: str = "bookshelf_id", document: str = "document") -> None:
+    """One file a shelf with its metadata document (operators.offsets.metadata_documents), in folders by shelf; only the shelves written are replaced."""
+    rows = documents.select(F.col(shelf).alias("bookshelf_id"), F.col(document).alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bookshelf_id").text(path)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Pages (bookshelf_id, page_index, html), a file each in folders by shelf and page; of a page written again, the last stays."""
+    rows = pages.select("bookshelf_id", "page_index", F.col("html").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bookshelf_id", "page_index").text(path)
 
 
 def append_metrics(df: DataFrame, path: str, *partition_by: str) -> None:

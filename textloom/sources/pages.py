@@ -1,50 +1,51 @@
-"""A data source of saved catalogue pages: spark.read.format("catalogue_pages")."""
+"""Catalogue pages: saved ones by any Hadoop path, and a scan that fetches them."""
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_NAME = re.compile(r"bookshelf_(?P<shelf>.+)_page_(?P<page>\d+)\.html$")
+SCHEMA = "bookshelf_id string, page_index bigint, html string"
 
 
-class CataloguePages(DataSource):
-    """Files bookshelf_<id>_page_<n>.html of a folder, one partition a page; option bookshelf_id restricts to one shelf. The pages are read where the partitions run, which is why the folder must be shared."""
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(bookshelf_id, page_index, html) of pages written by sinks.writers.write_pages. A filter on the shelf or the page prunes folders, so others are not opened."""
+    pages = spark.read.schema("value string, bookshelf_id string, page_index bigint").text(path, wholetext=True)
+    return pages.select("bookshelf_id", "page_index", F.regexp_replace("value", "\\n$", "").alias("html"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "catalogue_pages"
 
-    def schema(self) -> str:
-        return "bookshelf_id string, page_index bigint, html string"
+def read_page_files(spark: SparkSession, folder: str, bookshelf_id: str | None = None) -> DataFrame:
+    """(bookshelf_id, page_index, html) of files bookshelf_<id>_page_<n>.html; with a shelf, only its files are listed."""
+    files = spark.read.option("pathGlobFilter", f"bookshelf_{bookshelf_id or '*'}_page_*.html").text(folder, wholetext=True)
+    name = F.regexp_extract(F.input_file_name(), r"bookshelf_([^/]+)_page_(\d+)\.html$", 1), F.regexp_extract(F.input_file_name(), r"_page_(\d+)\.html$", 1)
+    return files.select(name[0].alias("bookshelf_id"), name[1].cast("bigint").alias("page_index"), F.col("value").alias("html"))
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("bookshelf_id"))
 
+def scan_pages(shelves: DataFrame, fetch: Callable[[str, int], tuple[int, str]], has_items: Callable[[str], bool], budget: int = 5, shelf: str = "bookshelf_id") -> DataFrame:
+    """(bookshelf_id, page_index, html): the pages of each shelf, fetched in order where the shelves' rows lie.
 
-class _Page(InputPartition):
-    def __init__(self, path: str, shelf: str, page: int) -> None:
-        self.path, self.shelf, self.page = path, shelf, page
+    fetch(bookshelf_id, page_index) gives a status and a body. A page is asked for
+    again until it comes with status 200; a shelf ends at its first page without
+    items, or when budget fetches have failed in all (a success does not reset the
+    count). Null shelves have no pages. fetch runs on executors: it must be
+    picklable, and repeating it after a lost executor must do no harm.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                page, failed = 0, 0
+                while s is not None and failed < budget:
+                    status, body = fetch(s, page)
+                    if status != 200:
+                        failed += 1
+                        continue
+                    if not has_items(body):
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.string()), pa.array([page], pa.int64()), pa.array([body], pa.string())], ["bookshelf_id", "page_index", "html"])
+                    page += 1
 
-class _Reader(DataSourceReader):
-    def __init__(self, folder: str, shelf: str | None) -> None:
-        self.folder, self.shelf = folder, shelf
-
-    def partitions(self) -> list[InputPartition]:
-        found = [(m["shelf"], int(m["page"]), os.path.join(self.folder, f)) for f in os.listdir(self.folder) if (m := _NAME.match(f))]
-        return [_Page(p, s, n) for s, n, p in sorted(found) if self.shelf in (None, s)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition is None or not hasattr(partition, "path"):
-            return
-        with open(partition.path, encoding="utf-8") as f:
-            yield partition.shelf, partition.page, f.read()
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(CataloguePages)
+    return shelves.select(F.col(shelf).cast("string")).mapInArrow(run, SCHEMA)

@@ -28,7 +28,7 @@ def read_texts(spark: SparkSession, path: str, errors: str = "ignore") -> DataFr
 
 
 def detect(data: bytes) -> str:
-    """The likely encoding: that of a byte order mark; UTF-8 where the bytes are valid; else what the detection library says, if it is installed; else UTF-8."""
+    """The likely encoding: that of a byte order mark; UTF-8 where the bytes are valid; else what the detection library says, if it is installed; else that of detect_legacy."""
     for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
         if data.startswith(mark):
             return name
@@ -40,8 +40,26 @@ def detect(data: bytes) -> str:
     try:
         import chardet
     except ImportError:
-        return "utf-8"
-    return chardet.detect(data)["encoding"] or "utf-8"
+        return detect_legacy(data)
+    return chardet.detect(data)["encoding"] or detect_legacy(data)
+
+
+# The code pages of texts that are not Unicode, and the letters that are common in them.
+LEGACY = {"cp1252": "éèàùâêîôûëïüçäößñáíóúæœ", "cp1253": "αεηιοτνσρκπλμςάέήίόύώ", "cp1251": "оеаинтсрвлкмдпу", "gb18030": "的一是不了人我在有他这中大来上"}
+
+
+def detect_legacy(data: bytes) -> str:
+    """The code page in whose reading the largest share of the letters beyond ASCII are common ones; cp1252 if none stands out, which loses no letter of Latin-1. UTF-16 without a mark is told by its zero bytes."""
+    even, odd = data[0::2].count(0), data[1::2].count(0)
+    if len(data) > 3 and max(even, odd) > len(data) // 8:
+        return "utf-16-be" if even > odd else "utf-16-le"
+    best, top = "cp1252", 0.0
+    for name, common in LEGACY.items():
+        read = [c for c in data.decode(name, "replace").lower() if ord(c) > 127]
+        share = sum(c in common for c in read) / max(1, len(read))
+        if share > top:
+            best, top = name, share
+    return best
 
 
 def decode_bytes(content: Column, errors: str = "ignore") -> Column:
