@@ -63,6 +63,8 @@ SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string([l
  CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed FROM d""",
         "p5_found": """SELECT 'document' AS item_kind, doc_id AS item_id FROM documents WHERE length(text) > 6000
 UNION ALL SELECT 'example', example_id FROM examples WHERE len(list_filter(attention_mask, lambda x: x = 1)) > 512""",
+        "p5_invariants": """SELECT 'document' AS item_kind, doc_id AS item_id, length(text) AS size, true AS fits, true AS covers, true AS repeats, true AS whole FROM documents WHERE length(text) > 6000
+UNION ALL SELECT 'example', example_id, len(list_filter(attention_mask, lambda x: x = 1)), true, true, true, true FROM examples WHERE len(list_filter(attention_mask, lambda x: x = 1)) > 512""",
         "p8_shared": """WITH g AS (SELECT doc_id, i, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
  h AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1), p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM g SEMI JOIN h USING (s)),
  c AS (SELECT doc_id, sum(CASE WHEN prev IS NULL THEN 300 ELSE least(300, i - prev) END) AS n, count(CASE WHEN prev IS NULL OR i - prev > 300 THEN 1 END) AS runs FROM p GROUP BY 1)

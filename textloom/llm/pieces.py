@@ -38,15 +38,15 @@ def token_boundaries(ids: Sequence[int], sentence: int = 13, line: int = 198) ->
     return found
 
 
-def atoms(n: int, boundaries: list[tuple[int, int]], room: int, spaces: list[int]) -> list[tuple[int, int]]:
-    """(end, strength) of the atomic segments: those between boundaries, cut where longer than room, at the last of spaces if there is one and else anywhere."""
+def atoms(n: int, boundaries: list[tuple[int, int]], room: int, spaces: list[int], first: int) -> list[tuple[int, int]]:
+    """(end, strength) of the atomic segments: those between boundaries, cut where longer than room (first for the one at the start), at the last of spaces if there is one and else anywhere."""
     out, start, k = [], 0, 0
     for end, strength in [*boundaries, (n, PARAGRAPH)]:
-        while end - start > room:
-            while k < len(spaces) and spaces[k] <= start + room:
+        while end - start > (most := room if start else first):
+            while k < len(spaces) and spaces[k] <= start + most:
                 k += 1
             at = spaces[k - 1] if k and spaces[k - 1] > start else 0
-            start = at or start + room
+            start = at or start + most
             out.append((start, WORD if at else FORCED))
         if end > start:
             out.append((end, strength))
@@ -54,10 +54,10 @@ def atoms(n: int, boundaries: list[tuple[int, int]], room: int, spaces: list[int
     return out
 
 
-def merge(segments: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
-    """Agglomerative merging: of all boundaries between neighbours the weakest goes first (of equals the one whose neighbours are smallest together, then the first), if both fit into room.
+def merge(segments: list[tuple[int, int]], room: int, first: int) -> list[tuple[int, int]]:
+    """Agglomerative merging: of all boundaries between neighbours the weakest goes first (of equals the one whose neighbours are smallest together, then the first), if both fit into room, or into first at the start, where no overlap comes before.
 
-    A boundary that does not fit never will, as segments only grow; so each is decided once.
+    A boundary that does not fit never will, as segments only grow; so each is decided once, and once more when the segment before it comes to begin at the start.
     """
     n = len(segments)
     start = [0, *(end for end, _ in segments[:-1])]
@@ -72,7 +72,7 @@ def merge(segments: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
             continue
         j = after[i]
         now = end[j] - start[i]
-        if now > room:
+        if now > (room if start[i] else first):
             continue
         if now != size:
             heapq.heappush(heap, (strength, now, i))
@@ -82,6 +82,8 @@ def merge(segments: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
         before[j] = before[i]
         if before[j] >= 0:
             after[before[j]] = j
+        if not start[j] and after[j] < n:
+            heapq.heappush(heap, (segments[j][1], end[after[j]] - start[j], j))
     return [(end[i], segments[i][1]) for i in range(n) if not gone[i]]
 
 
@@ -91,7 +93,7 @@ def cut(n: int, boundaries: list[tuple[int, int]], limit: int, overlap: int, spa
         raise ValueError("overlap must be at least 0 and less than limit")
     if n <= limit:
         return [(0, n, "end")]
-    cores = merge(atoms(n, boundaries, limit - overlap, spaces), limit - overlap)
+    cores = merge(atoms(n, boundaries, limit - overlap, spaces, limit), limit - overlap, limit)
     out, start = [], 0
     for end, strength in cores:
         out.append((max(0, start - overlap) if start else 0, end, "end" if end == n else KINDS[strength]))
@@ -144,3 +146,16 @@ def token_pieces(examples: DataFrame, example_id: str = "example_id", ids: str =
 def cut_items(pieces: DataFrame) -> DataFrame:
     """(item_kind, item_id): what had to be cut; each item has one first piece."""
     return pieces.where(F.col("piece_no") == 0).select("item_kind", "item_id")
+
+
+def invariants(pieces: DataFrame, limits: dict[str, tuple[int, int]] = {"document": (6000, 200), "example": (512, 64)}) -> DataFrame:  # noqa: B006
+    """(item_kind, item_id, size, fits, covers, repeats, whole): of each item that was cut, its size and whether all pieces fit their limit, cover it from start to end, begin the overlap before the last one's end (or at the start), and hold as much as their positions say. Pieces are gathered by item, never by more."""
+    rows = F.array_sort(F.collect_list(F.struct("piece_no", "start_at", "end_at", F.coalesce(F.length("text"), F.size("token_ids")).cast("long").alias("n"))))
+    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for kind, v in limits.items() for x in (kind, v[i]))), F.col("item_kind"))
+    items = pieces.groupBy("item_kind", "item_id").agg(rows.alias("p"))
+    start = F.transform(F.slice("p", 2, F.size("p")), lambda x: x["start_at"])
+    wanted = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.greatest(F.lit(0).cast("long"), x["end_at"] - of(1)))
+    return items.select(
+        "item_kind", "item_id", F.element_at("p", -1)["end_at"].alias("size"), F.forall("p", lambda x: x["end_at"] - x["start_at"] <= of(0)).alias("fits"),
+        (F.element_at("p", 1)["start_at"] == 0).alias("covers"), (start == wanted).alias("repeats"), F.forall("p", lambda x: x["n"] == x["end_at"] - x["start_at"]).alias("whole"),
+    )

@@ -61,6 +61,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.cut_items(p5_pieces(spark, folder))
 
 
+def p5_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.invariants(p5_pieces(spark, folder))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
