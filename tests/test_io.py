@@ -102,7 +102,7 @@ def test_metadata_and_samples(rows, spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).select("epoch", "step", "prompt").collect() == [(0, 200, "p")]
     df, watch = writers.observed(books, "o", n=F.count(F.lit(1)))
     writers.append_metrics(df, str(tmp_path / "mm"))
-    assert watch.get == {"n": 1} and writers.run_folders(str(tmp_path), "x")["plots"].endswith("run_x/plots")
+    assert watch.get == {"n": 1} and writers.run_folders(spark, str(tmp_path), "x")["plots"].endswith("run_x/plots") and (tmp_path / "run_x" / "plots").is_dir()
 
 
 def test_config(tmp_path):

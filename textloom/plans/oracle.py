@@ -107,6 +107,25 @@ SELECT bookshelf_id, sp AS split, file_path, count(*) AS num_books, CAST(sum(str
  md5(string_agg(concat_ws(',', id, st, CAST(st + n AS BIGINT), length(text)), ';' ORDER BY rec_id)) AS books_digest FROM s WHERE text <> '' GROUP BY 1, 2, 3""",
         "corpus_metadata": """SELECT bookshelf_id, lower(trim(split)) AS split, count(*) AS num_books, CAST(sum(strlen(CAST(to_json({'text': text}) AS VARCHAR)) + 2) AS BIGINT) AS total_chars, CAST(sum(length(text)) AS BIGINT) AS text_chars
 FROM corpus_records WHERE text <> '' GROUP BY ALL""",
+        "jsonl_round_trip": "SELECT md5(text) AS digest, count(*) AS n FROM corpus_records WHERE text <> '' GROUP BY 1",
+        "json_lists": "SELECT id, title, author, url, count(*) AS n FROM catalogue GROUP BY ALL",
+        "cached_examples": "SELECT example_id, CAST(len(input_ids) AS BIGINT) AS n_ids, CAST(list_sum(attention_mask) AS BIGINT) AS n_real FROM examples",
+        "logged_metrics": "SELECT run_id, split, count(*) AS n, max(step) AS last_step FROM metrics WHERE split IN ('train', 'val') GROUP BY ALL",
+        "sample_records": """WITH b AS (SELECT example_id, input_ids, CAST(list_sum(attention_mask) // 2 AS BIGINT) AS half, row_number() OVER (PARTITION BY example_id // 64 ORDER BY example_id) AS rn FROM examples)
+SELECT example_id, CAST(1 AS BIGINT) AS epoch, CAST(500 AS BIGINT) AS step, md5(coalesce(array_to_string(CASE WHEN half = 0 THEN CAST([] AS INTEGER[]) ELSE input_ids[1 : half] END, ' '), '')) AS prompt,
+ md5(coalesce(array_to_string(list_filter(input_ids[half + 1 :], lambda x: x <> 50256), ' '), '')) AS ground_truth FROM b WHERE rn = 1""",
+        "fetch_attempts": """WITH a AS (SELECT user_id % 50 AS bookshelf_id, event_id, CASE WHEN event_type = 'error' OR value < 20 THEN 1 ELSE 0 END AS failed FROM events),
+ b AS (SELECT *, coalesce(sum(failed) OVER (PARTITION BY bookshelf_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)
+SELECT bookshelf_id, count(*) AS n_attempts, count(CASE WHEN failed = 0 THEN 1 END) AS n_pages FROM b WHERE before < 5 GROUP BY 1""",
+        "causal_positions": """WITH p AS (SELECT input_ids, labels, unnest(range(1, len(labels))) AS i FROM examples WHERE labels IS NOT NULL AND len(labels) = len(input_ids))
+SELECT CAST(input_ids[i] AS BIGINT) AS token, CAST(labels[i + 1] AS BIGINT) AS label, count(*) AS n, min(i - 1) AS first_pos FROM p GROUP BY 1, 2""",
+        "decoded_tokens": """SELECT example_id, md5(coalesce(array_to_string(list_transform(list_filter(list_transform(input_ids, lambda x: x % 5), lambda x: x > 1), lambda x: ['<s>', '</s>', 'one', 'two', 'three'][x + 1]), ' '), '')) AS digest FROM examples""",
+        "checkpoint_names": """WITH n AS (SELECT run_id, CASE WHEN is_best THEN 'best_model.pt' ELSE 'checkpoint_epoch_' || (epoch + 1) || '.pt' END AS name, count(*) AS n FROM checkpoints GROUP BY 1, 2),
+ r AS (SELECT run_id, CAST(max(epoch) + 1 AS BIGINT) AS epochs_run FROM checkpoints GROUP BY 1) SELECT * FROM n JOIN r USING (run_id)""",
+        "rank_losses": """WITH p AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS pos FROM examples), n AS (SELECT count(*) AS n FROM examples),
+ a AS (SELECT example_id, pos FROM p UNION ALL SELECT example_id, pos + n FROM p, n WHERE pos < (n + 2) // 3 * 3 - n)
+SELECT 'global' AS scope, count(*) AS n, CAST(sum(example_id) AS BIGINT) AS id_sum, count(CASE WHEN pos % 3 = 0 THEN 1 END) AS n_leading FROM a
+UNION ALL SELECT 'rank0', count(*), CAST(sum(example_id) AS BIGINT), count(*) FROM a WHERE pos % 3 = 0""",
         "file_parts": "SELECT regexp_replace(file_path, '/[^/]*$', '') AS folder, string_split(file_path, '/')[-1] AS file, count(*) AS n FROM corpus_records GROUP BY ALL",
         "kl_batchmean": f"WITH {_LOGITS} SELECT vec_id, round(kd, 6) AS kl FROM x",
         "cross_entropy": f"WITH {_LOGITS} SELECT label, count(*) AS positions, count(CASE WHEN label <> 0 THEN 1 END) AS targets, round(coalesce(avg(CASE WHEN label <> 0 THEN ntp END), -1.0), 6) AS ntp_loss FROM x GROUP BY 1",

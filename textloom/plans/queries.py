@@ -13,7 +13,7 @@ from textloom.operators import catalogue, losses, metrics, offsets, order, reten
 from textloom.operators.prefix import ordinals
 from textloom.session import shared_folder, table
 from textloom.sinks import writers
-from textloom.sources import pages
+from textloom.sources import pages, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,7 +153,7 @@ def html_titles_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of each shelf that a scan reads, with their addresses and numbers of books. The pages are written and read again by their source."""
-    saved = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    saved = _saved(spark, "pages")
     writers.write_pages(catalogue_pages(table(spark, folder, "catalogue").where(F.col("bookshelf_id").isNotNull() & F.col("page_index").isNotNull())), saved)
     items = F.size(F.split("html", '<li class="booklink">', -1)) - 1
     listed = pages.read_pages(spark, saved).select("bookshelf_id", "page_index", items.alias("n"))
@@ -198,6 +198,97 @@ def corpus_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return offsets.corpus_totals(table(spark, folder, "corpus_records").withColumn("split", F.lower(F.trim("split"))), "bookshelf_id", "split")
 
 
+# --- written and read again, in the shared folder
+
+
+def _saved(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def jsonl_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of a JSON-lines corpus as they are read from its files."""
+    saved = _saved(spark, "jsonl")
+    writers.write_jsonl(table(spark, folder, "corpus_records").select("rec_id", "text"), saved, order=["rec_id"])
+    return readers.read_jsonl(spark, saved).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
+
+
+def json_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing of each shelf as one JSON list, which one reader must hold, and read again."""
+    saved = _saved(spark, "lists")
+    book = F.struct("id", "title", "author", "url")
+    lists = table(spark, folder, "catalogue").groupBy("bookshelf_id").agg(F.to_json(F.collect_list(book)).alias("value"))
+    lists.write.partitionBy("bookshelf_id").text(saved)
+    return readers.read_json_list(spark, saved).groupBy("id", "title", "author", "url").agg(F.count("*").alias("n"))
+
+
+def cached_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples taken from a cache on the second call; the key holds the source's digest."""
+    examples = table(spark, folder, "examples").select("example_id", "input_ids", "attention_mask")
+    key, cache = ("examples", writers.content_digest(examples, "example_id")), _saved(spark, "cache")
+    writers.cache(examples, cache, *key)
+    again = writers.cache(examples.limit(0), cache, *key)
+    return again.select("example_id", _long(F.size("input_ids")).alias("n_ids"), arrays.real_tokens(F.col("attention_mask")).alias("n_real"))
+
+
+def logged_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics appended in two parts, by run."""
+    saved, rows = _saved(spark, "metrics"), table(spark, folder, "metrics")
+    for part in (rows.where("split = 'train'"), rows.where("split = 'val'")):
+        writers.append_metrics(part, saved, "run_id")
+    read = spark.read.schema(rows.schema).parquet(saved)
+    return read.groupBy("run_id", "split").agg(F.count("*").alias("n"), F.max("step").alias("last_step"))
+
+
+def sample_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts and true continuations of an evaluation's samples; the second write of the same step replaces the first."""
+    saved = _saved(spark, "samples")
+    ex = table(spark, folder, "examples").withColumn("batch", F.floor(F.col("example_id") / 64))
+    cut = windows.prompt_split(ex, "input_ids", "attention_mask", "batch", "example_id", samples=1, pad=50256)
+    rows = cut.select("example_id", F.array_join("prompt", " ").alias("prompt"), F.array_join("ground_truth", " ").alias("ground_truth"))
+    for _ in range(2):
+        writers.append_samples(rows, saved, epoch=1, step=500)
+    read = spark.read.schema("example_id bigint, prompt string, ground_truth string, epoch bigint, step bigint").json(saved)
+    return read.select("example_id", "epoch", "step", F.md5("prompt").alias("prompt"), F.md5("ground_truth").alias("ground_truth"))
+
+
+def fetch_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts on pages as events: a scan gives up after its fifth failure, and only status 200 has a page."""
+    status = F.when(F.col("event_type") == "error", 503).when(F.col("value") < 20, 404).otherwise(200)
+    attempts = table(spark, folder, "events").select((F.col("user_id") % 50).alias("bookshelf_id"), F.col("event_id").alias("attempt"), status.alias("status"))
+    made = catalogue.within_failure_budget(attempts)
+    pages_read = catalogue.ok_responses(made).groupBy("bookshelf_id").agg(F.count("*").alias("n_pages"))
+    return made.groupBy("bookshelf_id").agg(F.count("*").alias("n_attempts")).join(pages_read, "bookshelf_id", "left").select("bookshelf_id", "n_attempts", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+
+
+def causal_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Flattened positions with their causal targets: how often each token is to be predicted after which."""
+    ex = table(spark, folder, "examples").where(F.col("labels").isNotNull() & (F.size("labels") == F.size("input_ids")))
+    rows = losses.causal_targets(ex.select("example_id", F.transform("input_ids", lambda x: F.array(x.cast("double"))).alias("logits"), "labels"), "example_id")
+    return rows.groupBy(F.col("logits")[0].cast("bigint").alias("token"), _long("label").alias("label")).agg(F.count("*").alias("n"), F.min("pos").cast("bigint").alias("first_pos"))
+
+
+def decoded_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of a small vocabulary as text, special ones skipped."""
+    words = F.array(*map(F.lit, ("<s>", "</s>", "one", "two", "three")))
+    ids = F.transform("input_ids", lambda x: x % 5)
+    return table(spark, folder, "examples").select("example_id", F.md5(tokens.decode(ids, words, [0, 1])).alias("digest"))
+
+
+def checkpoint_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of checkpoints and where runs go on."""
+    rows = table(spark, folder, "checkpoints")
+    last = retention.resume_position(rows, ["run_id"])
+    named = rows.select("run_id", retention.checkpoint_name(F.col("epoch"), F.col("is_best")).alias("name")).groupBy("run_id", "name").agg(F.count("*").alias("n"))
+    return named.join(last, "run_id").select("run_id", "name", "n", _long("epochs_run").alias("epochs_run"))
+
+
+def rank_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums over all ranks and over the leading one only."""
+    rows = order.shards(ordinals(table(spark, folder, "examples").select("example_id"), [], ["example_id"], "pos"), world=3, batch=4)
+    each = lambda scope: order.rank_scope(rows, scope).agg(F.lit(scope).alias("scope"), F.count("*").alias("n"), F.sum("example_id").alias("id_sum"), F.count(F.when(order.leads(F.col("rank")), 1)).alias("n_leading"))
+    return each("global").unionAll(each("rank0"))
+
+
 def file_parts(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "corpus_records")
     return records.groupBy(text.folder_name(F.col("file_path")).alias("folder"), text.file_name(F.col("file_path")).alias("file")).agg(F.count("*").alias("n"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,11 +81,13 @@ def evict(spark: SparkSession, folder: str, *keep: tuple) -> list[str]:
     return sorted(p.getName() for p in gone)
 
 
-def run_folders(root: str, name: str) -> dict[str, str]:
-    """The folders of a run, made on the driver."""
-    made = {part: os.path.join(root, f"run_{name}", part) for part in ("evaluations", "checkpoints", "plots")}
+def run_folders(spark: SparkSession, root: str, name: str) -> dict[str, str]:
+    """The folders of a run, made wherever root's file system is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made = {part: f"{root.rstrip('/')}/run_{name}/{part}" for part in ("evaluations", "checkpoints", "plots")}
     for path in made.values():
-        os.makedirs(path, exist_ok=True)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).mkdirs(at)
     return made
 
 

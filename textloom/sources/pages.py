@@ -14,7 +14,7 @@ SCHEMA = "bookshelf_id string, page_index bigint, html string"
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(bookshelf_id, page_index, html) of pages written by sinks.writers.write_pages. A filter on the shelf or the page prunes folders, so others are not opened."""
     pages = spark.read.schema("value string, bookshelf_id string, page_index bigint").text(path, wholetext=True)
-    return pages.select("bookshelf_id", "page_index", F.regexp_replace("value", "\\n$", "").alias("html"))
+    return pages.select("bookshelf_id", "page_index", F.regexp_replace("value", r"\n\z", "").alias("html"))
 
 
 def read_page_files(spark: SparkSession, folder: str, bookshelf_id: str | None = None) -> DataFrame:
