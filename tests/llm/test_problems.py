@@ -309,7 +309,7 @@ def test_p4_without_a_common_segment_of_more_than_a_triple(rows):
     overlap.FILTER_BITS = limit
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.integers(0, 10**6))
 def test_p4_is_brute_force_on_edited_records(spark, seed):
     r = random.Random(seed)
@@ -435,7 +435,7 @@ def test_p8_a_notice_in_every_document(rows, spark):
     assert spans.shared_pairs(s).count() == n * (n - 1) // 2
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40), st.integers(5, 60)), min_size=1, max_size=4), min_size=2, max_size=7))
 def test_p8_is_brute_force_on_pieces(spark, parts):
     sources = [prose(60, 60), prose(61, 60), "ab" * 60, "-" * 90]

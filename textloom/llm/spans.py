@@ -72,15 +72,20 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df as a join's side that is never broadcast: it grows with the corpus, and plans should not depend on its size."""
+    return df.hint("merge")
+
+
 @dataclass(frozen=True)
 class Shared:
     """What documents share, as tables none of which has a row for a pair.
 
     hits (v, h, id, lo, hi): the blocks of documents whose MinHash v other documents
     have too; blocks (v, h, first, last): distinct blocks with the least and the
-    greatest document that has them; windows (v, key, h, off, first): paragraphs that
-    different documents have though they lie in different blocks, by the offset in
-    their block, with the least document that has them. span is their length.
+    greatest document that has them; windows (v, key, h, off, len, first): runs of
+    len paragraphs that different documents have though they lie in different blocks,
+    from off on in their block, with the least document that has them. span is a paragraph's length.
     """
 
     hits: DataFrame
@@ -120,26 +125,77 @@ def _block_rows(span: int, gram: int):
     return run
 
 
-def _window_rows(span: int):
-    """Rows (v, key, h, off, first, last): the hashes of all paragraphs of the given blocks of a text, with the blocks' own columns."""
+STEP = 10  # paragraphs a segment of a block
+
+
+def _segments(sums: tuple[np.ndarray, np.ndarray], block: dict, span: int, gram: int) -> list[dict] | None:
+    """The segments of a block: up to STEP neighbouring paragraphs each, numbered by their distance to the gram that is the block's MinHash.
+
+    core hashes what all paragraphs of a segment have in common, whole everything
+    that the block's paragraphs of it cover; off and len are their places in the
+    block. Two equal paragraphs lie in segments of the same number and core. None if
+    the gram stands in the block twice, as equal paragraphs might then go by another.
+    """
+    lo, hi = block["lo"], block["hi"]
+    at = np.arange(lo, hi + span - gram + 1)
+    hits = at[run_hashes(sums, at, at + gram) == np.uint64(block["v"] & (1 << 64) - 1)]
+    if len(hits) != 1:
+        return None
+    p = int(hits[0])
+    number = np.arange((p - hi) // STEP, (p - lo) // STEP + 1)
+    near, far = np.maximum(number * STEP, p - hi), np.minimum(number * STEP + STEP - 1, p - lo)
+    step = min(STEP, span - gram + 1)
+    core = run_hashes(sums, p - number * STEP, p - number * STEP + span - step + 1)
+    whole = run_hashes(sums, p - far, p - near + span) + far.astype(np.uint64)
+    return [{"no": n, "core": c, "whole": w, "off": o, "len": k} for n, c, w, o, k in zip(number.tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), (p - far - lo).tolist(), (far - near + 1).tolist())]
+
+
+_SEGMENT = pa.struct([("no", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("off", pa.int32()), ("len", pa.int32())])
+
+
+def _block_details(span: int, gram: int):
+    """Rows (v, h, first, last, segments, keys): of each of the given blocks of a text its segments (null if they cannot be told) and the hashes of its paragraphs, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("v", "h", "first", "last")
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(6)]
+            rows: list[tuple] = []
             for text, blocks in zip(*(c.to_pylist() for c in batch.columns)):
                 sums = prefix_sums(code_points(text))
                 for b in blocks:
                     at = np.arange(b["lo"], b["hi"] + 1)
-                    keys = run_hashes(sums, at, at + span).view(np.int64)
-                    for part, x in zip(parts, (*(np.full(len(at), b[c], np.int64) for c in names), keys, at - b["lo"])):
-                        part.append(x)
-            v, h, first, last, key, off = (pa.array(np.concatenate(p)) for p in parts)
-            yield pa.RecordBatch.from_arrays([v, key, h, off.cast(pa.int32()), first, last], ["v", "key", "h", "off", "first", "last"])
+                    rows.append((b["v"], b["h"], b["first"], b["last"], _segments(sums, b, span, gram), run_hashes(sums, at, at + span).view(np.int64)))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (*[pa.int64()] * 4, pa.list_(_SEGMENT), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["v", "h", "first", "last", "segments", "keys"])
 
     return run
 
 
+def _compared(blocks: DataFrame, long: DataFrame, span: int, gram: int) -> DataFrame:
+    """(v, key, h, off, len, first): paragraphs that different blocks of one MinHash have in common, in runs of len from off on in their block.
+
+    One document of each block is opened. Segments meet by their cores; where all that
+    meet are the same throughout, the segment is one key; else its paragraphs' hashes are compared.
+    """
+    several = blocks.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    compared = blocks.join(_merged(several), "v", "left_semi")
+    asked = materialize(compared.groupBy("at.id").agg(F.collect_list(F.struct("v", "h", "at.lo", "at.hi", "first", "last")).alias("blocks")))
+    picked = long.join(materialize(asked.select("id")), "id", "left_semi")  # ids first, so that other texts are not shuffled
+    opened = materialize(picked.join(_merged(asked), "id").select("text", "blocks").mapInArrow(_block_details(span, gram), "v bigint, h bigint, first bigint, last bigint, segments array<struct<no:int,core:bigint,whole:bigint,off:int,len:int>>, keys array<bigint>"))
+    segments = opened.select("v", "h", "first", "last", F.explode("segments").alias("s")).select("v", "h", "first", "last", "s.*")
+    extent = (F.min("first").alias("least"), F.max("last").alias("most"), F.min("h").alias("h0"), F.max("h").alias("h1"), (F.min("whole") == F.max("whole")).alias("same"))
+    meet = segments.groupBy("v", "no", "core").agg(*extent).where("least < most and h0 <> h1").select("v", "no", "core", "least", "same")
+    met = materialize(segments.join(_merged(meet), ["v", "no", "core"]).select("v", "h", "whole", "off", "len", "least", "same"))
+    unclear = opened.join(_merged(materialize(opened.where(F.col("segments").isNull()).select("v").distinct())), "v", "left_semi").select("v", "h", F.lit(0).alias("from"), F.size("keys").alias("len"))
+    open_runs = materialize(met.where("not same").select("v", "h", F.col("off").alias("from"), "len").unionAll(unclear))
+    keyed = opened.select("v", "h", "first", "last", "keys").join(_merged(open_runs), ["v", "h"])
+    windows = materialize(keyed.select("v", "h", "first", "last", "from", F.posexplode(F.slice("keys", F.col("from") + 1, F.col("len"))).alias("i", "key")))
+    extent = (F.min("first").alias("least"), F.max("last").alias("most"), F.min("h").alias("h0"), F.max("h").alias("h1"))
+    common = windows.groupBy("v", "key").agg(*extent).where("least < most and h0 <> h1").select("v", "key", F.col("least").alias("first"))
+    single = windows.select("v", "key", "h", (F.col("from") + F.col("i")).alias("off"), F.lit(1).alias("len")).join(_merged(common), ["v", "key"])
+    return materialize(single.unionAll(met.where("same").select("v", F.col("whole").alias("key"), "h", "off", "len", F.col("least").alias("first"))))
+
+
 def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = 300, gram: int = 200) -> Shared:
     """Which runs of at least span characters documents share, from one row a block of paragraphs; linear in the text, however many documents share a run.
 
@@ -153,8 +209,8 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     Blocks whose MinHash meets in different documents are verified exactly (a
     Jaccard similarity of one): equal blocks by the hash of their characters; where
     different blocks have the same MinHash, one document of each gives the hashes of
-    its paragraphs, and those are compared. With the MinHash, which is a hash of 200
-    of the paragraph's characters, that is 128 bits: the expected number of wrong
+    its segments of neighbouring paragraphs, and those are compared, paragraph by
+    paragraph only where segments are partly the same. With the MinHash, which is a hash of 200 of the paragraph's characters, that is 128 bits: the expected number of wrong
     pairs is below one in 10^9 even where 10^10 paragraphs share a MinHash.
     Frequencies are summed before they are shuffled, so a notice in a third of all
     documents meets in no single task.
@@ -166,14 +222,9 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     listed = materialize(long.mapInArrow(_block_rows(span, gram), "id bigint, blocks array<struct<v:bigint,h:bigint,lo:int,hi:int>>"))
     rows = listed.select("id", F.explode("blocks").alias("b")).select("b.v", "b.h", "id", "b.lo", "b.hi")
     met = materialize(rows.groupBy("v").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("v"))
-    hits = materialize(rows.join(met, "v", "left_semi"))
+    hits = materialize(rows.join(_merged(met), "v", "left_semi"))
     blocks = materialize(hits.groupBy("v", "h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min(F.struct("id", "lo", "hi")).alias("at")))
-    several = blocks.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    compared = blocks.join(several, "v", "left_semi")
-    asked = materialize(compared.groupBy("at.id").agg(F.collect_list(F.struct("v", "h", "at.lo", "at.hi", "first", "last")).alias("blocks")))
-    windows = materialize(long.join(asked, "id").select("text", "blocks").mapInArrow(_window_rows(span), "v bigint, key bigint, h bigint, off int, first bigint, last bigint"))
-    common = windows.groupBy("v", "key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("first < last and h0 <> h1").select("v", "key", "first")
-    return Shared(hits, blocks.select("v", "h", "first", "last"), materialize(windows.drop("first", "last").join(common, ["v", "key"])), span)
+    return Shared(hits, blocks.select("v", "h", "first", "last"), _compared(blocks, long, span, gram), span)
 
 
 def _sets(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
@@ -191,20 +242,21 @@ def shared_pairs(spans: Shared) -> DataFrame:
     are rows of the result.
     """
     of_block = spans.hits.select("v", "h", "id").distinct()
-    own = of_block.join(spans.blocks.where("first < last"), ["v", "h"], "left_semi")
+    own = of_block.join(_merged(spans.blocks.where("first < last")), ["v", "h"], "left_semi")
     in_blocks = spans.windows.select("v", "key", "h").distinct()
-    kept = in_blocks.join(_sets(in_blocks, ["v", "key"], "h"), ["v", "key"], "left_semi")
-    across = kept.join(of_block, ["v", "h"]).select("v", F.col("key").alias("h"), "id").distinct()
+    kept = in_blocks.join(_merged(_sets(in_blocks, ["v", "key"], "h")), ["v", "key"], "left_semi")
+    across = kept.join(_merged(of_block), ["v", "h"]).select("v", F.col("key").alias("h"), "id").distinct()
     rows = materialize(own.unionAll(across).distinct())
-    rows = rows.join(_sets(rows, ["v", "h"], "id"), ["v", "h"], "left_semi")
+    rows = rows.join(_merged(_sets(rows, ["v", "h"], "id")), ["v", "h"], "left_semi")
     return bucket_pairs(rows.select(F.struct("v", "h").alias("k"), "id"), "k", "id").select("a", "b")
 
 
 def shared_intervals(spans: Shared) -> DataFrame:
     """(id, start, end): runs of each document that another one has too; they may overlap."""
     whole = spans.hits.join(spans.blocks.where("first < last"), ["v", "h"], "left_semi").select("id", F.col("lo").alias("start"), (F.col("hi") + spans.span).alias("end"))
-    part = spans.hits.join(spans.blocks.where("first = last"), ["v", "h"], "left_semi").join(spans.windows.select("v", "h", "off"), ["v", "h"])
-    return whole.unionAll(part.select("id", (F.col("lo") + F.col("off")).alias("start"), (F.col("lo") + F.col("off") + spans.span).alias("end")))
+    part = spans.hits.join(spans.blocks.where("first = last"), ["v", "h"], "left_semi").join(spans.windows.select("v", "h", "off", "len"), ["v", "h"])
+    start = F.col("lo") + F.col("off")
+    return whole.unionAll(part.select("id", start.alias("start"), (start + F.col("len") - 1 + spans.span).alias("end")))
 
 
 def shared_characters(docs: DataFrame, spans: Shared, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
