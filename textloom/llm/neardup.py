@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.llm import setsketch
 from textloom.llm.components import components
 from textloom.llm.pairing import bucket_pairs, expand, with_both
-from textloom.llm.words import WordHashes, shingle_hashes, triples, words_of
+from textloom.llm.words import WordHashes, packed_words, shingle_hashes, triples, words_of
 from textloom.session import materialize
 
 M, ROWS = 128, 4  # registers; registers a band (four of 16 bits are one bigint)
@@ -64,7 +64,7 @@ def _verify(least: tuple[int, int]):
         for batch in batches:
             out: list[tuple] = []
             for a, b, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = (triples(words_of(r["title"], r["text"])) for r in (left, right))
+                x, y = (triples(packed_words(r)) for r in (left, right))
                 both = len(x & y)
                 either = len(x) + len(y) - both
                 if both * least[1] >= least[0] * either:
@@ -92,8 +92,7 @@ def verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame, doc_id: st
     sized = candidates.join(one, "a").join(two, "b").where(F.least("na", "nb") >= F.lit(share) * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ka", "kb")
     floor = share - 4 * (share * (1 - share) / M) ** 0.5
     near = materialize(sized.mapInArrow(_estimate(floor), "a bigint, b bigint"))
-    both = with_both(near, docs, doc_id, F.col(title).alias("title"), F.col(text).alias("text"))
-    return both.select("a", "b", "left", "right").mapInArrow(_verify(least), "a bigint, b bigint, jaccard double")
+    return with_both(near, docs, doc_id, title, text).mapInArrow(_verify(least), "a bigint, b bigint, jaccard double")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", title: str = "title", text: str = "text", min_words: int = 20, least: tuple[int, int] = (7, 10), sketched: DataFrame | None = None) -> DataFrame:

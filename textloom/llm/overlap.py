@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from textloom.functions.whitespace import strip
 from textloom.llm.pairing import with_both
-from textloom.llm.words import WordHashes, shingle_hashes, triples, words_of
+from textloom.llm.words import WordHashes, packed_words, shingle_hashes, triples, words_of
 from textloom.session import materialize
 
 SEGMENT = 3  # words a segment: a segment is a triple, so that what is lost is counted as the definition counts it
-SPARE = 0.05  # share of a record's segments that it chooses beyond those that must be; a pair then needs so many more in common
+SPARE = 0.03  # share of a record's segments that it chooses beyond those that must be; a pair then needs so many more in common
 MAX_EDITS, _CELLS = 64, 1 << 21  # the widest band of the edit distance; cells of a table that is made whole
-_KEY, _HALF = np.uint64(16), np.uint64(1 << 47)  # keys are the upper 48 bits of hashes; those below _HALF are the first half
+_KEY, _HALF = np.uint64(18), np.uint64(1 << 45)  # keys are the upper 46 bits of hashes, which with the kind of meeting make six bytes; those below _HALF are the first half
 FILTER_BITS = 1 << 29  # a filter of at most 64 MB is broadcast; beyond it segments travel unfiltered
 
 
@@ -54,7 +54,7 @@ def _places(keys: np.ndarray, width: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
 
 
-def _segments(min_words: int, least: tuple[int, int], others, block: int = 1_000_000):
+def _segments(min_words: int, least: tuple[int, int], others, block: int = 4_000_000):
     """Rows (id, copy, n, need, odd, chosen, rest, other) of a task's records, handled in blocks of so many words.
 
     A record of n triples may lose k of them. It chooses k + 1 segments and some
@@ -67,7 +67,7 @@ def _segments(min_words: int, least: tuple[int, int], others, block: int = 1_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        passing = others.value if others is not None else _Filter(None, 0)
+        passing = others.value if others is not None else _Filter(b"", 0)
 
         def lists(values: list[np.ndarray]) -> pa.ListArray:
             flat = np.concatenate([*values, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
@@ -115,7 +115,7 @@ _SCHEMA = "id bigint, copy binary, n int, need int, odd boolean, chosen array<bi
 def _filter_of(rows: DataFrame) -> _Filter:
     """A filter of the segments that odd records chose, with 16 to 32 bits for each. Each task ORs its own, and two rounds of merging bring one table of bits to the driver."""
     number = rows.where("odd").agg(F.sum(F.size("chosen").cast("long"))).first()[0] or 0
-    width = max(10, (16 * number).bit_length())
+    width = max(16, (16 * number).bit_length())
     if not number or 1 << width > FILTER_BITS:
         return _Filter(None if number else b"", 0)
 
@@ -196,7 +196,7 @@ def _verify(least: tuple[int, int]):
         for batch in batches:
             out: list[tuple] = []
             for e, t, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = (words_of(r["title"], r["text"]) for r in (left, right))
+                x, y = map(packed_words, (left, right))
                 (hx, ix), (hy, iy) = (np.unique(shingle_hashes(known.of(z), SEGMENT), return_index=True) for z in (x, y))
                 if len(hy) < len(hx):
                     x, y, hx, hy, ix, iy = y, x, hy, hx, iy, ix
@@ -245,9 +245,9 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
     the other side's segments at any position, as excerpts and texts in another order
     count too. No pair is lost, whatever its edits. So that only half of all segments
     travel, both sides keep to one half of the hashes; the few records with at most k
-    segments in it choose from the other half, where the evaluation's choices filter
-    what training sends (a filter sized by their number, up to FILTER_BITS; without it
-    the result is the same).
+    segments in it choose from the other half, where such records' choices filter
+    what the other side sends (filters sized by their number, up to FILTER_BITS;
+    without them the result is the same).
 
     Pairs with enough segments in common are verified on the texts: those with too
     few common triples for k / 3 edits or the share fall to the count filter; up to
@@ -265,30 +265,34 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
     cols = (F.col(rec_id).cast("long").alias("id"), F.col(title).alias("title"), F.col(text).alias("text"))
     spark = records.sparkSession
     evaluation = materialize(rows.where(side != "train").select(*cols).mapInArrow(_segments(min_words, least, None), _SCHEMA))
-    others = spark.sparkContext.broadcast(_filter_of(evaluation))
-    training = materialize(rows.where(side == "train").select(*cols).mapInArrow(_segments(min_words, least, others), _SCHEMA))
+    sides = lambda table, others: table.select(*cols).mapInArrow(_segments(min_words, least, spark.sparkContext.broadcast(others)), _SCHEMA)
+    training = materialize(sides(rows.where(side == "train"), _filter_of(evaluation)))
     members = lambda table: table.select("id", "copy").join(table.groupBy("copy").agg(F.min("id").alias("rep")), "copy").select("id", "rep")
     members_e, members_t = members(evaluation), members(training)
 
-    def exploded(table: DataFrame, classes: DataFrame, node: str, *kinds: tuple[Column, int, bool]) -> DataFrame:
-        """One row for each segment of a class and kind of meeting; the kind is part of the key."""
-        reps = table.join(materialize(classes.where("id <> rep").select("id")), "id", "left_anti")
-        row = lambda kind, chosen: lambda h: F.struct((h * 4 + kind).alias("h"), F.lit(chosen).alias("c"))
+    def exploded(table: DataFrame, node: str, *kinds: tuple[Column, int, bool]) -> DataFrame:
+        """(h, node, w): one row for each segment and kind of meeting; the kind is part of the key. n, need and whether the record chose the segment are one number, so that rows are short."""
+        about = F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("need").cast("bigint"), 1)
+        row = lambda kind, chosen: lambda h: F.struct((h * 4 + kind).alias("h"), (F.col("about") + int(chosen)).alias("w"))
         marked = F.concat(*(F.transform(column, row(kind, chosen)) for column, kind, chosen in kinds))
-        return reps.select(F.col("id").alias(node), F.col("n").alias(f"n{node}"), F.col("need").alias(f"need{node}"), F.explode(marked).alias("s")).select("s.h", node, f"n{node}", f"need{node}", F.col("s.c").alias(f"c{node}"))
-
-    none = F.array().cast("array<bigint>")
-    odd = lambda c: F.when(F.col("odd"), F.col(c)).otherwise(none)
-    even = lambda c: F.when(F.col("odd"), none).otherwise(F.col(c))
-    # kinds: 0 the evaluation record chose the segment and meets all of training's first half; 1 it did not, and meets what training chose; 2 and 3 the same for odd records in the second half
-    e = exploded(evaluation, members_e, "a", (even("chosen"), 0, True), (F.col("rest"), 1, False), (odd("chosen"), 2, True), (F.col("other"), 3, False))
-    t = exploded(training, members_t, "b", (even("chosen"), 0, True), (F.col("rest"), 0, False), (even("chosen"), 1, True), (F.col("other"), 2, False), (odd("chosen"), 3, True))
-    smaller = F.when(F.col("na") <= F.col("nb"), F.col("ca")).otherwise(F.col("cb"))
-    need = F.when(F.col("na") <= F.col("nb"), F.col("needa")).otherwise(F.col("needb"))
-    met = e.join(t, "h").where(smaller).groupBy("a", "b", need.alias("need")).agg(F.count("*").alias("shared"))
+        return table.withColumn("about", about).select(F.col("id").alias(node), F.explode(marked).alias("s")).select("s.h", node, F.col("s.w").alias(f"w{node}"))
+
+    reps_e, reps_t = (table.join(materialize(m.where("id <> rep").select("id")), "id", "left_anti") for table, m in ((evaluation, members_e), (training, members_t)))
+    chosen, rest, other = map(F.col, ("chosen", "rest", "other"))
+    even = F.when(F.col("odd"), F.array().cast("array<bigint>")).otherwise(chosen)
+    # kinds: 0 the evaluation record chose the segment, training did not; 1 training chose it; 2 and 3 the same for what odd records chose from the second half. Only the evaluation's choices, the fewer, travel twice
+    e = exploded(reps_e, "a", (even, 0, True), (even, 1, True), (rest, 1, False)).unionAll(exploded(reps_e.where("odd"), "a", (chosen, 2, True)))
+    t = exploded(reps_t, "b", (rest, 0, False), (even, 1, True), (other, 2, False))
+    t = t.unionAll(exploded(reps_t.where("odd"), "b", (chosen, 3, True)))
+    sought = _filter_of(training)
+    if sought.bits != b"":  # odd records in training are rarer still than in the evaluation, so its second half is made for them only, and only what they look for
+        again = sides(rows.where(side != "train"), sought).select("id", "n", "need", "other").where(F.size("other") > 0)
+        e = e.unionAll(exploded(again.join(reps_e.select("id"), "id", "left_semi"), "a", (other, 3, False)))
+    smaller = F.when(F.shiftright("wa", 32) <= F.shiftright("wb", 32), F.col("wa")).otherwise(F.col("wb"))
+    met = e.join(t, "h").select("a", "b", smaller.alias("w")).where(F.col("w").bitwiseAND(1) == 1)
+    met = met.groupBy("a", "b", F.shiftright(F.col("w").bitwiseAND((1 << 32) - 1), 1).alias("need")).agg(F.count("*").alias("shared"))
     candidates = materialize(met.where("shared >= need").select("a", "b"))
-    both = with_both(candidates, rows, rec_id, F.col(title).alias("title"), F.col(text).alias("text"))
-    found = both.select("a", "b", "left", "right").mapInArrow(_verify(least), "e bigint, t bigint, containment double, edits bigint")
+    found = with_both(candidates, rows, rec_id, title, text).mapInArrow(_verify(least), "e bigint, t bigint, containment double, edits bigint")
     return Overlaps(found, members_e, members_t)
 
 

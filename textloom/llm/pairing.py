@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.words import pack
 from textloom.session import materialize
 
 
@@ -20,18 +24,26 @@ def bucket_pairs(rows: DataFrame, key: str, node: str, least_shared: int = 1) ->
     return met.where(F.col("shared") >= least_shared) if least_shared > 1 else met
 
 
-def with_both(pairs: DataFrame, docs: DataFrame, node: str, *columns: Column) -> DataFrame:
-    """pairs (a, b, ...) with structs left and right of the given columns of a's and b's rows.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, titles, texts = (c.to_pylist() for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([pack(*x) for x in zip(titles, texts)], pa.binary())], ["id", "body"])
+
+
+def with_both(pairs: DataFrame, docs: DataFrame, node: str, title: str, text: str) -> DataFrame:
+    """(a, b, left, right): pairs with the packed titles and texts of a's and b's rows.
 
-    The documents that occur in a pair are picked once and written; the two joins
-    then read only those. Their ids are written before, so that the planner knows
-    their size: below the session's broadcast threshold the documents are not shuffled.
+    The documents that occur in a pair are picked once and written, packed, as a
+    text is sent once for each of its pairs; the two joins then read only those. Their ids are written before, so that the planner knows
+    their size, and are broadcast only below the session's threshold; texts, whose
+    files are much smaller than they are, never are.
     """
     nodes = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct())
-    picked = materialize(docs.select(F.col(node).alias("id"), F.struct(*columns).alias("row")).join(nodes, "id", "left_semi"))
-    left = picked.select(F.col("id").alias("a"), F.col("row").alias("left"))
-    right = picked.select(F.col("id").alias("b"), F.col("row").alias("right"))
-    return pairs.join(left, "a").join(right, "b")
+    own = docs.select(F.col(node).cast("long").alias("id"), F.col(title).alias("title"), F.col(text).alias("text"))
+    picked = materialize(own.join(nodes, "id", "left_semi").mapInArrow(_packed, "id bigint, body binary"))
+    left = picked.select(F.col("id").alias("a"), F.col("body").alias("left"))
+    right = picked.select(F.col("id").alias("b"), F.col("body").alias("right"))
+    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "left", "right")
 
 
 def expand(pairs: DataFrame, members: DataFrame, within: Column | None = None) -> DataFrame:

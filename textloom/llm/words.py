@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from hashlib import blake2b
 
 import numpy as np
@@ -16,6 +17,15 @@ def words_of(title: str | None, text: str | None) -> list[str]:
     return WORD.findall(f"{title or ''} {text or ''}".lower())
 
 
+def pack(title: str | None, text: str | None) -> bytes:
+    """title, one space and text, deflated for the way to where pairs are verified."""
+    return zlib.compress(f"{title or ''} {text or ''}".encode("utf-8", "surrogatepass"))
+
+
+def packed_words(body: bytes) -> list[str]:
+    return WORD.findall(zlib.decompress(body).decode("utf-8", "surrogatepass").lower())
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of words; then the memory starts anew."""
 
