@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -61,10 +62,11 @@ def _estimate(floor: float):
 
 def _verify(least: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(maxsize=8)(lambda body: triples(packed_words(body)))  # pairs come sorted by b
         for batch in batches:
             out: list[tuple] = []
             for a, b, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = (triples(packed_words(r)) for r in (left, right))
+                x, y = map(of, (left, right))
                 both = len(x & y)
                 either = len(x) + len(y) - both
                 if both * least[1] >= least[0] * either:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -193,11 +194,16 @@ def edit_distance(x: list, y: list, diagonal: int, band: int) -> int:
 def _verify(least: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
+
+        @lru_cache(maxsize=8)  # pairs come sorted by t
+        def of(body: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+            words = packed_words(body)
+            return words, *np.unique(shingle_hashes(known.of(words), SEGMENT), return_index=True)
+
         for batch in batches:
             out: list[tuple] = []
             for e, t, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = map(packed_words, (left, right))
-                (hx, ix), (hy, iy) = (np.unique(shingle_hashes(known.of(z), SEGMENT), return_index=True) for z in (x, y))
+                (x, hx, ix), (y, hy, iy) = map(of, (left, right))
                 if len(hy) < len(hx):
                     x, y, hx, hy, ix, iy = y, x, hy, hx, iy, ix
                 n, k = len(hx), _lost(len(hx), least)
