@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import arrays, html, text
 from textloom.operators import catalogue, losses, metrics, offsets, order, retention, tokens, windows
 from textloom.operators.prefix import ordinals
-from textloom.session import shared_folder, table
+from textloom.session import new_folder, table
 from textloom.sinks import writers
 from textloom.sources import pages, readers
 
@@ -153,7 +152,7 @@ def html_titles_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of each shelf that a scan reads, with their addresses and numbers of books. The pages are written and read again by their source."""
-    saved = _saved(spark, "pages")
+    saved = new_folder(spark, "pages")
     writers.write_pages(catalogue_pages(table(spark, folder, "catalogue").where(F.col("bookshelf_id").isNotNull() & F.col("page_index").isNotNull())), saved)
     items = F.size(F.split("html", '<li class="booklink">', -1)) - 1
     listed = pages.read_pages(spark, saved).select("bookshelf_id", "page_index", items.alias("n"))
@@ -201,20 +200,16 @@ def corpus_metadata(spark: SparkSession, folder: str) -> DataFrame:
 # --- written and read again, in the shared folder
 
 
-def _saved(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def jsonl_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of a JSON-lines corpus as they are read from its files."""
-    saved = _saved(spark, "jsonl")
+    saved = new_folder(spark, "jsonl")
     writers.write_jsonl(table(spark, folder, "corpus_records").select("rec_id", "text"), saved, order=["rec_id"])
     return readers.read_jsonl(spark, saved).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
 
 
 def json_lists(spark: SparkSession, folder: str) -> DataFrame:
     """The listing of each shelf as one JSON list, which one reader must hold, and read again."""
-    saved = _saved(spark, "lists")
+    saved = new_folder(spark, "lists")
     book = F.struct("id", "title", "author", "url")
     lists = table(spark, folder, "catalogue").groupBy("bookshelf_id").agg(F.to_json(F.collect_list(book)).alias("value"))
     lists.write.partitionBy("bookshelf_id").text(saved)
@@ -224,7 +219,7 @@ def json_lists(spark: SparkSession, folder: str) -> DataFrame:
 def cached_examples(spark: SparkSession, folder: str) -> DataFrame:
     """Examples taken from a cache on the second call; the key holds the source's digest."""
     examples = table(spark, folder, "examples").select("example_id", "input_ids", "attention_mask")
-    key, cache = ("examples", writers.content_digest(examples, "example_id")), _saved(spark, "cache")
+    key, cache = ("examples", writers.content_digest(examples, "example_id")), new_folder(spark, "cache")
     writers.cache(examples, cache, *key)
     again = writers.cache(examples.limit(0), cache, *key)
     return again.select("example_id", _long(F.size("input_ids")).alias("n_ids"), arrays.real_tokens(F.col("attention_mask")).alias("n_real"))
@@ -232,7 +227,7 @@ def cached_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 def logged_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics appended in two parts, by run."""
-    saved, rows = _saved(spark, "metrics"), table(spark, folder, "metrics")
+    saved, rows = new_folder(spark, "metrics"), table(spark, folder, "metrics")
     for part in (rows.where("split = 'train'"), rows.where("split = 'val'")):
         writers.append_metrics(part, saved, "run_id")
     read = spark.read.schema(rows.schema).parquet(saved)
@@ -241,7 +236,7 @@ def logged_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def sample_records(spark: SparkSession, folder: str) -> DataFrame:
     """Prompts and true continuations of an evaluation's samples; the second write of the same step replaces the first."""
-    saved = _saved(spark, "samples")
+    saved = new_folder(spark, "samples")
     ex = table(spark, folder, "examples").withColumn("batch", F.floor(F.col("example_id") / 64))
     cut = windows.prompt_split(ex, "input_ids", "attention_mask", "batch", "example_id", samples=1, pad=50256)
     rows = cut.select("example_id", F.array_join("prompt", " ").alias("prompt"), F.array_join("ground_truth", " ").alias("ground_truth"))

@@ -59,14 +59,20 @@ def clean_up(spark: SparkSession) -> int:
     return len(own)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to, for clean_up to delete."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes df as a compressed table in the shared folder and reads it again.
 
     Later plans start from files that survive the loss of any executor, and an
     expensive step that is read twice runs once. zstd keeps the table small.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    _written.append((df.sparkSession.sparkContext.applicationId, path))
+    path = new_folder(df.sparkSession, "table")
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
