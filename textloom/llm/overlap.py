@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.whitespace import strip
 from textloom.llm.pairing import with_both
-from textloom.llm.words import WordHashes, packed_words, shingle_hashes, triples, words_of
+from textloom.llm.words import distinct, hashed, lowered, packed_words, triples, unpacked
 from textloom.session import materialize
 
 SEGMENT = 3  # words a segment: a segment is a triple, so that what is lost is counted as the definition counts it
@@ -55,6 +55,28 @@ def _places(keys: np.ndarray, width: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
 
 
+def _records(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """(id, hashes of the words, number of distinct triples, their keys in order) of the records of enough words."""
+    for batch in batches:
+        ids, titles, texts = (c.to_pylist() for c in batch.columns)
+        for i, (words, runs) in zip(ids, hashed(map(lowered, titles, texts), SEGMENT)):
+            if len(words) >= min_words:
+                t = distinct(np.sort(runs))
+                yield i, words, len(t), distinct(t >> _KEY)
+
+
+def _choice(keys: np.ndarray, n: int, least: tuple[int, int]) -> tuple[int, int, bool, int]:
+    """Where a record's second half of the keys begins, how many triples it may lose, whether it is odd, and how many segments it chooses."""
+    half, k = int(np.searchsorted(keys, _HALF)), _lost(n, least)
+    odd = half <= k
+    return half, k, odd, min(len(keys) - half if odd else half, k + 1 + int(SPARE * n))
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([*values, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
+
 def _segments(min_words: int, least: tuple[int, int], others, block: int = 4_000_000):
     """Rows (id, copy, n, need, odd, chosen, rest, other) of a task's records, handled in blocks of so many words.
 
@@ -67,49 +89,54 @@ def _segments(min_words: int, least: tuple[int, int], others, block: int = 4_000
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         passing = others.value if others is not None else _Filter(b"", 0)
 
-        def lists(values: list[np.ndarray]) -> pa.ListArray:
-            flat = np.concatenate([*values, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
-
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             _, inverse, counts = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
             seen, at, out = counts[inverse], 0, []
             for i, copy, n, keys in rows:
-                half, k = int(np.searchsorted(keys, _HALF)), _lost(n, least)
-                odd = half <= k
+                half, k, odd, number = _choice(keys, n, least)
                 pool, often = (keys[half:], seen[at + half : at + len(keys)]) if odd else (keys[:half], seen[at : at + half])
                 at += len(keys)
                 take = np.zeros(len(pool), bool)
-                take[np.argsort(often, kind="stable")[: k + 1 + int(SPARE * n)]] = True
+                take[np.argsort(often, kind="stable")[:number]] = True
                 chosen = pool[take]
-                out.append((i, copy, n, len(chosen) - k, odd, chosen, keys[:half] if odd else pool[~take], passing(keys[half:])))
+                out.append((i, copy, n, number - k, odd, chosen, keys[:half] if odd else pool[~take], passing(keys[half:])))
             ids, copies, sizes, needs, odds, chosens, rests, seconds = zip(*out)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(odds, pa.bool_()), lists(list(chosens)), lists(list(rests)), lists(list(seconds))],
+                [pa.array(ids, pa.int64()), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(odds, pa.bool_()), _lists(list(chosens)), _lists(list(rests)), _lists(list(seconds))],
                 ["id", "copy", "n", "need", "odd", "chosen", "rest", "other"],
             )
 
         rows, size = [], 0
-        for batch in batches:
-            for i, title, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(title, text)
-                if len(words) >= min_words:
-                    ids = known.of(words)
-                    t = np.unique(shingle_hashes(ids, SEGMENT))
-                    rows.append((i, blake2b(ids.tobytes(), digest_size=16).digest(), len(t), np.unique(t >> _KEY)))
-                    size += len(words)
-                    if size >= block:
-                        yield flush(rows)
-                        rows, size = [], 0
+        for i, words, n, keys in _records(batches, min_words):
+            rows.append((i, blake2b(words.tobytes(), digest_size=16).digest(), n, keys))
+            size += len(words)
+            if size >= block:
+                yield flush(rows)
+                rows, size = [], 0
         if rows:
             yield flush(rows)
 
     return run
 
 
+def _seconds(min_words: int, least: tuple[int, int], others):
+    """Rows (id, n, need, other) as _segments makes them, of the records with segments of the second half that pass the filter others; what a record chooses is only counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, _, n, keys in _records(iter([batch]), min_words):
+                half, k, _, number = _choice(keys, n, least)
+                if len(other := others.value(keys[half:])):
+                    out.append((i, n, number - k, other))
+            ids, sizes, needs, seconds = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), _lists(list(seconds))], ["id", "n", "need", "other"])
+
+    return run
+
+
 _SCHEMA = "id bigint, copy binary, n int, need int, odd boolean, chosen array<bigint>, rest array<bigint>, other array<bigint>"
 
 
@@ -138,15 +165,22 @@ def _filter_of(rows: DataFrame) -> _Filter:
     return _Filter(zlib.decompress(parts.repartition(32).mapInArrow(union, "b binary").repartition(1).mapInArrow(union, "b binary").first()[0]), width)
 
 
-def _slides(x: np.ndarray, y: np.ndarray, d: np.ndarray):
+def _band(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """A row for each of the neighbouring diagonals d: which items of x equal the ones of y there."""
+    n, m, never = len(x), len(y), -1
+    while never in x:
+        never -= 1
+    left, right = max(0, -int(d[0])), max(0, int(d[-1]) + n - m)
+    wide = np.concatenate([np.full(left, never), y, np.full(right, never)])
+    return np.lib.stride_tricks.sliding_window_view(wide, n)[d[0] + left : d[-1] + left + 1] == x
+
+
+def _slides(equal: np.ndarray):
     """For each diagonal, where the run of equal items that begins at a position ends; from a table of the whole band."""
-    n, m = len(x), len(y)
-    at = d[:, None] + np.arange(n)[None, :]
-    equal = (at >= 0) & (at < m)
-    equal &= x[None, :] == np.concatenate([y, [-1]])[np.clip(at, 0, m)]
-    ends = np.full((len(d), n + 1), n)
+    n = equal.shape[1]
+    ends = np.full((len(equal), n + 1), n)
     ends[:, :n] = np.minimum.accumulate(np.where(equal, n, np.arange(n))[:, ::-1], axis=1)[:, ::-1]
-    rows = np.arange(len(d))
+    rows = np.arange(len(equal))
     return lambda i, usable: ends[rows, i]
 
 
@@ -172,57 +206,96 @@ def edit_distance(x: list, y: list, diagonal: int, band: int) -> int:
     After e edits only the farthest position on each diagonal counts; from one
     count of edits to the next all diagonals of the band move at once.
     """
-    n, m = len(x), len(y)
     number: dict = {}
     xs, ys = (np.fromiter((number.setdefault(w, len(number)) for w in z), np.int64, len(z)) for z in (x, y))
+    return _distance(xs, ys, diagonal, band)
+
+
+def _distance(x: np.ndarray, y: np.ndarray, diagonal: int, band: int) -> int:
+    """edit_distance of arrays of numbers."""
+    n, m = len(x), len(y)
     d = np.arange(diagonal - band, diagonal + band + 1)
-    slide = _slides(xs, ys, d) if n * len(d) <= _CELLS else _slide_by_steps(xs, ys, d)
-    never = -(1 << 40)
+    if n * len(d) <= _CELLS:
+        equal = _band(x, y, d)
+        met = (equal[:, :-2] & equal[:, 1:-1] & equal[:, 2:]).any(axis=0)
+        if n - 2 - int(met.sum()) > 3 * band:  # an edit costs at most three runs of three, and what is left stands on a diagonal
+            return band + 1
+        slide = _slides(equal)
+    else:
+        slide = _slide_by_steps(x, y, d)
+    never, least, most = -(1 << 40), np.maximum(0, -d), np.minimum(n, m - d)
     reach = np.full(len(d) + 2, never)
     for e in range(band + 1):
-        i = np.maximum(np.maximum(reach[1:-1] + 1, reach[:-2]), reach[2:] + 1)
-        i = np.where((d >= 0) | (e >= -d), np.maximum(i, np.maximum(0, -d)), i)  # y's start is free; items of x before it have no partner
-        i = np.minimum(i, np.minimum(n, m - d))
-        usable = (i >= 0) & (i + d >= 0)
+        on = reach + 1
+        i = np.maximum(np.maximum(on[1:-1], reach[:-2]), on[2:])
+        i = np.minimum(np.maximum(i, np.where(least <= e, least, never)), most)  # y's start is free; items of x before it have no partner
+        usable = i >= least
         i = np.where(usable, slide(np.where(usable, i, 0), usable), never)
-        if (i >= n).any():
+        if i.max() >= n:
             return e
         reach[1:-1] = i
     return band + 1
 
 
+def _inside(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether all of x is a run of y."""
+    part, whole = x.tobytes(), y.tobytes()
+    at = whole.find(part)
+    while at > 0 and at % x.itemsize:
+        at = whole.find(part, at + 1)
+    return at >= 0
+
+
+def _groups(pairs: Iterator[tuple[int, int, bytes, bytes]], most: int = 1 << 15) -> Iterator[list[tuple[int, int, bytes, bytes]]]:
+    """The pairs in runs of some most packed bytes of different texts."""
+    group, seen, size = [], set(), 0
+    for pair in pairs:
+        size += sum(map(len, {*pair[2:]} - seen))
+        seen.update(pair[2:])
+        group.append(pair)
+        if size >= most:
+            yield group
+            group, seen, size = [], set(), 0
+    if group:
+        yield group
+
+
 def _verify(least: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+    """Hashes of words suffice for the count filter and the distance; words are cut only where the definition itself decides."""
 
-        @lru_cache(maxsize=8)  # pairs come sorted by t
-        def of(body: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
-            words = packed_words(body)
-            return words, *np.unique(shingle_hashes(known.of(words), SEGMENT), return_index=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        spelled = lru_cache(maxsize=8)(lambda body: triples(packed_words(body)))  # pairs come sorted by t
 
         for batch in batches:
             out: list[tuple] = []
-            for e, t, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                (x, hx, ix), (y, hy, iy) = map(of, (left, right))
-                if len(hy) < len(hx):
-                    x, y, hx, hy, ix, iy = y, x, hy, hx, iy, ix
-                n, k = len(hx), _lost(len(hx), least)
-                at = np.minimum(np.searchsorted(hy, hx), len(hy) - 1)
-                met = hy[at] == hx
-                both = int(met.sum())
-                if both < n - k:  # the count filter: no k / 3 edits lead from x to a part of y, nor is the share reached otherwise
-                    continue
-                edits, band = 0, min(k // 3, MAX_EDITS)
-                if f" {' '.join(x)} " not in f" {' '.join(y)} ":
-                    edits = edit_distance(x, y, int(np.median(iy[at[met]] - ix[met])), max(1, band))
-                if edits > band:  # not by edits, or by more than the band holds: the definition itself
-                    sx, sy = triples(x), triples(y)
-                    edits, both, n = None, len(sx & sy), len(sx)
-                if edits is not None or both * least[1] >= least[0] * n:
-                    out.append((e, t, both / n, edits))
+            for group in _groups(zip(*(c.to_pylist() for c in batch.columns))):
+                bodies = dict.fromkeys(body for pair in group for body in pair[2:])
+                known = {body: known[body] for body in bodies if body in known}
+                new = [body for body in bodies if body not in known]
+                known |= {body: (words.view(np.int64), *np.unique(runs, return_index=True)) for body, (words, runs) in zip(new, hashed(map(unpacked, new), SEGMENT))}
+                out.extend(case for pair in group if (case := decide(*pair, known, spelled)))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["e", "t", "containment", "edits"])
 
+    def decide(e: int, t: int, left: bytes, right: bytes, known: dict, spelled) -> tuple | None:
+        (x, hx, ix), (y, hy, iy) = known[left], known[right]
+        if len(hy) < len(hx):
+            x, y, hx, hy, ix, iy, left, right = y, x, hy, hx, iy, ix, right, left
+        n, k = len(hx), _lost(len(hx), least)
+        at = np.minimum(np.searchsorted(hy, hx), len(hy) - 1)
+        met = hy[at] == hx
+        both = int(met.sum())
+        if both < n - k:  # the count filter: no k / 3 edits lead from x to a part of y, nor is the share reached otherwise
+            return None
+        edits, band = 0, min(k // 3, MAX_EDITS)
+        if not _inside(x, y):
+            edits = _distance(x, y, int(np.median(iy[at[met]] - ix[met])), max(1, band))
+        if edits > band:  # not by edits, or by more than the band holds: the definition itself
+            sx, sy = spelled(left), spelled(right)
+            edits, both, n = None, len(sx & sy), len(sx)
+        return (e, t, both / n, edits) if edits is not None or both * least[1] >= least[0] * n else None
+
     return run
 
 
@@ -271,8 +344,7 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
     cols = (F.col(rec_id).cast("long").alias("id"), F.col(title).alias("title"), F.col(text).alias("text"))
     spark = records.sparkSession
     evaluation = materialize(rows.where(side != "train").select(*cols).mapInArrow(_segments(min_words, least, None), _SCHEMA))
-    sides = lambda table, others: table.select(*cols).mapInArrow(_segments(min_words, least, spark.sparkContext.broadcast(others)), _SCHEMA)
-    training = materialize(sides(rows.where(side == "train"), _filter_of(evaluation)))
+    training = materialize(rows.where(side == "train").select(*cols).mapInArrow(_segments(min_words, least, spark.sparkContext.broadcast(_filter_of(evaluation))), _SCHEMA))
     members = lambda table: table.select("id", "copy").join(table.groupBy("copy").agg(F.min("id").alias("rep")), "copy").select("id", "rep")
     members_e, members_t = members(evaluation), members(training)
 
@@ -292,7 +364,7 @@ def split_overlaps(records: DataFrame, rec_id: str = "rec_id", split: str = "spl
     t = t.unionAll(exploded(reps_t.where("odd"), "b", (chosen, 3, True)))
     sought = _filter_of(training)
     if sought.bits != b"":  # odd records in training are rarer still than in the evaluation, so its second half is made for them only, and only what they look for
-        again = sides(rows.where(side != "train"), sought).select("id", "n", "need", "other").where(F.size("other") > 0)
+        again = rows.where(side != "train").select(*cols).mapInArrow(_seconds(min_words, least, spark.sparkContext.broadcast(sought)), "id bigint, n int, need int, other array<bigint>")
         e = e.unionAll(exploded(again.join(reps_e.select("id"), "id", "left_semi"), "a", (other, 3, False)))
     smaller = F.when(F.shiftright("wa", 32) <= F.shiftright("wb", 32), F.col("wa")).otherwise(F.col("wb"))
     met = e.join(t, "h").select("a", "b", smaller.alias("w")).where(F.col("w").bitwiseAND(1) == 1)
