@@ -26,6 +26,16 @@ def _triples(table: str, node: str) -> str:
  c AS (SELECT {node}, count(*) AS n FROM t GROUP BY 1)"""
 
 
+# each line of five documents or more against all other sources: twice the log-likelihood ratio, and the least eighth of a unit that passes the step at 1 %
+_TESTS = f"""{_LINES}, e AS (SELECT x, sum(k) AS k FROM f GROUP BY 1), a AS (SELECT sum(size) AS n FROM z),
+ o AS (SELECT bookshelf_id, x, CAST(f.k AS DOUBLE) AS k1, CAST(size AS DOUBLE) AS n1, CAST(e.k - f.k AS DOUBLE) AS k2, CAST(n - size AS DOUBLE) AS n2 FROM f JOIN e USING (x) JOIN z USING (bookshelf_id) CROSS JOIN a WHERE f.k >= 5),
+ p AS (SELECT *, (k1 + k2) / (n1 + n2) AS rate FROM o),
+ q AS (SELECT *, CASE WHEN k1 * n2 > k2 * n1 THEN 2 * ({" + ".join(f"CASE WHEN {k} > 0 THEN {k} * ln({k} / ({n})) ELSE 0 END" for k, n in (("k1", "n1 * rate"), ("(n1 - k1)", "n1 * (1 - rate)"), ("k2", "n2 * rate"), ("(n2 - k2)", "n2 * (1 - rate)")))}) ELSE 0 END AS llr FROM p),
+ b AS (SELECT least(floor(llr * 8), 11200) / 8 AS edge, count(*) AS n FROM q GROUP BY 1),
+ k AS (SELECT edge, sum(n) OVER (ORDER BY edge DESC) AS rank, sum(n) OVER () AS m, sqrt(edge / 2) AS y, 1 / (1 + 0.3275911::DOUBLE * sqrt(edge / 2)) AS u FROM b),
+ c AS (SELECT min(edge) AS cut FROM k WHERE 0.5::DOUBLE * u * (0.254829592::DOUBLE + u * (-0.284496736::DOUBLE + u * (1.421413741::DOUBLE + u * (-1.453152027::DOUBLE + u * 1.061405429::DOUBLE)))) * exp(-y * y) <= 0.01::DOUBLE * rank / m)"""
+
+
 def _components(edges: str, nodes: str) -> str:
     """CTE g (id, component) of the graph with edges e (a, b): labels spread until none changes."""
     return f"""e2 AS (SELECT a, b FROM ({edges}) UNION SELECT b, a FROM ({edges})),
@@ -61,6 +71,8 @@ SELECT split, bookshelf_id, count(*) AS n_records, count(pairs) AS n_overlapping
  d AS (SELECT d.doc_id, text, gone, string_split(text, chr(10)) AS ls FROM documents d LEFT JOIN g USING (doc_id))
 SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string([ls[i + 1] for i in range(len(ls)) if NOT list_contains(gone, i)], chr(10)), '') END AS text,
  CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed FROM d""",
+        "p3_report": f"""WITH {_TESTS} SELECT z.bookshelf_id, size AS n_docs, count(q.x) AS n_lines, count(CASE WHEN llr >= cut AND llr > 0 THEN 1 END) AS n_excess
+FROM z CROSS JOIN c LEFT JOIN q ON q.bookshelf_id = z.bookshelf_id AND k1 >= 0.05::DOUBLE * n1 GROUP BY 1, 2""",
         "p5_found": """SELECT 'document' AS item_kind, doc_id AS item_id FROM documents WHERE length(text) > 6000
 UNION ALL SELECT 'example', example_id FROM examples WHERE len(list_filter(attention_mask, lambda x: x = 1)) > 512""",
         "p5_invariants": """SELECT 'document' AS item_kind, doc_id AS item_id, length(text) AS size, true AS fits, true AS covers, true AS repeats, true AS whole FROM documents WHERE length(text) > 6000
